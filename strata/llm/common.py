@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], heavy: int) -> Iterator[pa.RecordB
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(heavy)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(heavy)), 0).to_pylist()
         start, size = 0, 0
         for i in range(n):
             if i > start and (i - start >= SLICE_ROWS or size + lengths[i] > SLICE_BYTES):
