@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import html, media, mix, packing, quality, secrets, simhash, tokens
+from strata.llm import html, media, mix, packing, pii, quality, secrets, simhash, tokens, toxicity
 from strata.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_table(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -48,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mix, op3_secrets, op4_html, op6_pack, op7_tokens, op8_simhash, op9_media, op10_quality,
+        op1_mix, op2_pii, op3_secrets, op4_html, op5_toxicity, op6_pack, op7_tokens, op8_simhash, op9_media, op10_quality,
     )
 }
 
