@@ -5,7 +5,8 @@ Their first part is the same: a dictionary trained on ordinary windows, which se
 its noise from the comparison. Their last parts differ: the toxic one ends with the words that toxic texts have far more
 often, the most telling nearest to its end; the ordinary one with words of ordinary texts. A window's difference in compressed
 length is above zero where its text is nearer to the toxic dictionary. A logistic model over the counts of windows above each
-of THRESHOLDS, fitted on the same sample and with its cut calibrated there, makes the score.
+of THRESHOLDS, fitted on the half of the sample that the
+dictionaries have not seen and with its cut calibrated there, makes the score.
 
 Every whole text is cut into windows of about WINDOW bytes at word ends; nothing is shuffled, the model is a few dozen KB.
 
@@ -34,7 +35,7 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY, SEED = 1000, 2000, 5
 WINDOW, LEVEL, BASE_BYTES, TAIL_BYTES = 12, 3, 16384, 2048
 THRESHOLDS = (1, 2, 3, 4, 5)
 #: A telling word is in at least MIN_SHARE of the toxic texts and MIN_LIFT times as often as in ordinary ones.
-MIN_SHARE, MIN_LIFT = 0.04, 8.0
+MIN_SHARE, MIN_LIFT = 0.08, 8.0
 MEMO = 100_000
 _EDGES = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
@@ -115,8 +116,8 @@ def telling_words(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> list[byt
 def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     """Dictionaries, logistic weights and cut, from labelled texts."""
     rate = len(toxic) / max(1, len(toxic) + len(ordinary))
-    told = telling_words(toxic, ordinary)
-    common = [w for t in ordinary for w in windows(t)]
+    told = telling_words(toxic[::2], ordinary[::2])
+    common = [w for t in ordinary[::2] for w in windows(t)]
     if not told or len(common) < 64:
         return Model(b"", b"", [], min(rate, 0.49))
     rows = [b" ".join(common[i : i + 4]) for i in range(0, len(common), 4)]
@@ -128,8 +129,9 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
     filler = (b" ".join(common) + b" " * len(tail))[-len(tail) :]
     model = Model(base + tail, base + filler, [0.0] * (2 * len(THRESHOLDS)), 0.0)
     scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t in [*toxic, *ordinary]])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+    # dictionaries are made of one half of the sample, weights and cut of the other
+    x = np.array([scorer.features(t) for t in [*toxic[1::2], *ordinary[1::2]]])
+    y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(50):  # Newton steps, ridge of one
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
@@ -139,7 +141,7 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
         step = np.linalg.solve(h, g)
         w, b = w - step[:-1], b - step[-1]
     z = x @ w + b
-    # the cut that errs least, a toxic text weighing as much as an ordinary one
+    # the cut that errs least
     best = min(sorted(set(z.round(6))), key=lambda c: (np.sum((z >= c - 1e-9) != y), c), default=0.0)
     below = z[z < best - 1e-6]
     cut = (best + below.max()) / 2 if len(below) else best
