@@ -133,6 +133,11 @@ def ablate(rows: DataFrame, version: str = "v1") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs."""
+    """The rows of docs that the policy keeps, with the columns of docs.
+
+    The partition number, never negative, makes the verdict's projection one that the optimiser does not push a filter
+    through: pushed down, the filter would hold every measurement spelled out again at each use.
+    """
     measured = _with_bits(_measured(docs, F.struct(*[docs[c] for c in docs.columns]), text_of(docs, text_col)))
-    return apply_policy(measured, version).filter("kept").select("doc.*")
+    judged = apply_policy(measured, version).select("doc", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("kept"))
+    return judged.filter("kept").select("doc.*")
