@@ -50,8 +50,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], heavy: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of at most SLICE_ROWS rows and about SLICE_BYTES in column number heavy.
+def slices(
+    batches: Iterator[pa.RecordBatch], heavy: int, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most most_rows rows and about most_bytes in column number heavy.
 
     A single longer text is a piece of its own.
     """
@@ -62,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], heavy: int) -> Iterator[pa.RecordB
         lengths = pc.fill_null(pc.binary_length(batch.column(heavy)), 0).to_pylist()
         start, size = 0, 0
         for i in range(n):
-            if i > start and (i - start >= SLICE_ROWS or size + lengths[i] > SLICE_BYTES):
+            if i > start and (i - start >= most_rows or size + lengths[i] > most_bytes):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += lengths[i]

@@ -15,8 +15,8 @@ into whole windows; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strata.llm.common import slices, text_of
+from strata.llm.common import SLICE_BYTES, SLICE_ROWS, slices, text_of
 from strata.llm.tokens import load, tokenizer_path
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 CONTEXT = 4096
 TIERS = (512, 1024, 2048, 4096)
-POOL, STEP, CACHE = 1 << 20, 16 * 4096, 250_000
+POOL, STEP, CACHE = 1 << 20, 16 * 4096, 350_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -38,6 +38,10 @@ SCHEMA = (
 )
 
 
+#: Marks that end a word and are never part of a contraction or a special token.
+_MARKS = b".,!?;:#*$%&"
+
+
 class Ids(dict):
     """Ids of pieces between spaces and line ends, as little-endian 32-bit bytes.
 
@@ -46,24 +50,44 @@ class Ids(dict):
 
     def __init__(self, path: str, limit: int = CACHE):
         super().__init__({b"": b""})
-        self.tok, self.limit = load(path), limit
+        self.tok, self.limit, self.older = load(path), limit, {}
+
+    def learn(self, missing: list[bytes], needed: set[bytes]) -> None:
+        """Find the missing pieces in the older generation, or encode them. A full generation becomes the older one.
 
-    def learn(self, missing: list[bytes]) -> None:
+        A letter followed by marks at a piece's end is a cut of this pre-tokenizer too, so a word is encoded once and its
+        forms with punctuation are put together.
+        """
         if len(self) + len(missing) > self.limit:
+            self.older = dict(self)
             self.clear()
             self[b""] = b""
-        found = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in missing], add_special_tokens=False)
-        for m, e in zip(missing, found, strict=True):
-            self[m] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            missing = list(needed.difference(self))
+        older = self.older
+        if older:
+            self.update([(m, older[m]) for m in missing if m in older])
+            missing = [m for m in missing if m not in older]
+        fresh, joined = set(), []
+        for m in missing:
+            if m[-1] in _MARKS:
+                stem = m.rstrip(_MARKS)
+                if stem and (96 < stem[-1] < 123 or stem.decode("utf-8", "replace")[-1].isalpha()):
+                    joined.append((m, stem, m[len(stem) :]))
+                    fresh.add(stem)
+                    fresh.add(m[len(stem) :])
+                    continue
+            fresh.add(m)
+        wanted = list(fresh.difference(self))
+        found = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in wanted], add_special_tokens=False)
+        self.update(zip(wanted, [array("I", e.ids).tobytes() for e in found], strict=True))
+        self.update([(m, self[stem] + self[marks]) for m, stem, marks in joined])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # ASCII capitals are lowered first, as the tokenizer does anyway; not where a special token may be spelled
         cut = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         needed = set().union(*cut)
         if missing := list(needed.difference(self)):
-            self.learn(missing)
-            if missing := list(needed.difference(self)):
-                self.learn(missing)
+            self.learn(missing, needed)
         return [b"".join(map(self.__getitem__, c)) for c in cut]
 
 
@@ -178,7 +202,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         mark = end.to_bytes(4, "little")
-        for piece in slices(batches, 1):
+        for piece in slices(batches, 1, 4 * SLICE_ROWS, 2 * SLICE_BYTES):
             for doc_id, data in zip(piece.column(0).to_pylist(), ids.encode(piece.column(1).to_pylist()), strict=True):
                 data += mark
                 held[number] = [doc_id, data, len(data) // 4]
