@@ -92,7 +92,12 @@ def _measured(docs: DataFrame, carried: Column, text: Column) -> DataFrame:
 
 
 def _with_bits(measured: DataFrame) -> DataFrame:
-    bits = F.lit(0).cast("long")
+    """Adds fail_bits.
+
+    The partition number, never negative, makes this a projection that the optimiser does not push a filter through: pushed
+    down, a filter on a verdict would hold every measurement spelled out again at each use.
+    """
+    bits = F.when(F.spark_partition_id() < 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
     for i, (_, condition) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return measured.withColumn("fail_bits", bits)
@@ -133,11 +138,6 @@ def ablate(rows: DataFrame, version: str = "v1") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs.
-
-    The partition number, never negative, makes the verdict's projection one that the optimiser does not push a filter
-    through: pushed down, the filter would hold every measurement spelled out again at each use.
-    """
+    """The rows of docs that the policy keeps, with the columns of docs."""
     measured = _with_bits(_measured(docs, F.struct(*[docs[c] for c in docs.columns]), text_of(docs, text_col)))
-    judged = apply_policy(measured, version).select("doc", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("kept"))
-    return judged.filter("kept").select("doc.*")
+    return apply_policy(measured, version).filter("kept").select("doc.*")

@@ -369,8 +369,14 @@ def test_pipeline_stages_agree_with_their_operators(spark):
     assert all(x.columns == columns for x in (d1, d2, d3, d4))
     keep = {r.doc_id for r in quality.apply_policy(quality.ledger(d0)).filter("kept").collect()}
     assert {r.doc_id for r in d1.collect()} == keep
-    near = simhash.near_duplicates(d1).collect()
-    assert sorted(r.doc_id for r in d2.collect()) == sorted({r.component_id for r in near})
+    prints = {r.doc_id: simple_fingerprint(r.text) for r in d1.collect()}
+    label = {i: i for i in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    assert sorted(r.doc_id for r in d2.collect()) == sorted(set(label.values()))
     assert d3.count() == d2.count() and all(not secret_spans(r.text) for r in d3.collect())
     reps = {r.doc_id: r.reps for r in mix.mix_table(d3).collect()}
     assert Counter(r.doc_id for r in d4.collect()) == Counter({i: n for i, n in reps.items() if n})
