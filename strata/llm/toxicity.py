@@ -3,7 +3,7 @@
 Both dictionaries are trained from a bounded sample of labelled texts (SAMPLE_TOXIC and SAMPLE_ORDINARY documents, by hash).
 Their first part is the same: a dictionary trained on ordinary windows, which serves what all texts share and so removes
 its noise from the comparison. Their last parts differ: the toxic one ends with the words that toxic texts have far more
-often, the most telling nearest to its end; the ordinary one with words of ordinary texts. A window's difference in compressed
+often (all that MIN_TEXTS texts show in different contexts), the most telling nearest to its end; the ordinary one with words of ordinary texts. A window's difference in compressed
 length is above zero where its text is nearer to the toxic dictionary. A logistic model over the counts of windows above each
 of THRESHOLDS, fitted on the half of the sample that the
 dictionaries have not seen and with its cut calibrated there, makes the score.
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from strata.llm.common import slices, text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SEED = 1000, 2000, 5
-WINDOW, LEVEL, BASE_BYTES, TAIL_BYTES = 12, 3, 16384, 2048
+WINDOW, LEVEL, BASE_BYTES = 12, 3, 16384
 THRESHOLDS = (1, 2, 3, 4, 5)
-#: A telling word is in at least MIN_SHARE of the toxic texts and MIN_LIFT times as often as in ordinary ones.
-MIN_SHARE, MIN_LIFT = 0.08, 8.0
+#: A telling word is in at least MIN_TEXTS toxic texts, in different contexts, and MIN_LIFT times as often as in ordinary ones.
+MIN_TEXTS, MIN_LIFT = 5, 8.0
+#: Samples that train the base, spread evenly over all ordinary texts of its half.
+BASE_ROWS = 1 << 16
 MEMO = 100_000
 _EDGES = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
@@ -82,7 +84,9 @@ class Scorer:
         if found is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            found = self.memo[window] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+            # with the spaces around it, as words stand in the dictionaries: a short word alone is too short a match
+            text = b" " + window + b" "
+            found = self.memo[window] = len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
         return found
 
     def features(self, text: bytes) -> list[float]:
@@ -97,18 +101,31 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def text_counts(texts: Sequence[bytes]) -> Counter[bytes]:
+    """Texts by word. A text counts if it has the word between neighbours that no text before has: copies count once."""
+    found: Counter[bytes] = Counter()
+    known: dict[bytes, set[tuple[bytes, bytes]]] = {}
+    for t in texts:
+        words = [_EDGES.sub(b"", x) for x in t.lower().split()]
+        own: dict[bytes, set[tuple[bytes, bytes]]] = {}
+        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
+            if len(w) > 2:
+                own.setdefault(w, set()).add((before, after))
+        for w, contexts in own.items():
+            seen = known.setdefault(w, set())
+            if contexts - seen:
+                found[w] += 1
+                seen |= contexts
+    return found
+
+
 def telling_words(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> list[bytes]:
     """Words of toxic texts by how much they tell, the most telling last."""
-    seen = []
-    for texts in (toxic, ordinary):
-        c: Counter[bytes] = Counter()
-        for t in texts:
-            c.update({w for w in (_EDGES.sub(b"", x) for x in t.lower().split()) if len(w) > 2})
-        seen.append(c)
+    bad, good = text_counts(toxic), text_counts(ordinary)
     weight = {}
-    for w, n in seen[0].items():
-        lift = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (seen[1][w] + 0.5)
-        if n >= max(3, MIN_SHARE * len(toxic)) and lift >= MIN_LIFT:
+    for w, n in bad.items():
+        lift = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (good[w] + 0.5)
+        if n >= MIN_TEXTS and lift >= MIN_LIFT:
             weight[w] = math.log(lift) * math.sqrt(n)
     return sorted(weight, key=lambda w: (weight[w], w))
 
@@ -122,11 +139,12 @@ def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
         return Model(b"", b"", [], min(rate, 0.49))
     rows = [b" ".join(common[i : i + 4]) for i in range(0, len(common), 4)]
     try:
-        base = zstandard.train_dictionary(BASE_BYTES, rows[: 1 << 16], level=LEVEL).as_bytes()
+        base = zstandard.train_dictionary(BASE_BYTES, rows[:: -(-len(rows) // BASE_ROWS)], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return Model(b"", b"", [], min(rate, 0.49))
-    tail = (b" " + b" ".join(told) + b" ")[-TAIL_BYTES:]
-    filler = (b" ".join(common) + b" " * len(tail))[-len(tail) :]
+    tail = b" " + b" ".join(told) + b" "
+    spread = b" ".join(common[:: max(1, WINDOW * len(common) // len(tail))])
+    filler = (spread + b" " * len(tail))[: len(tail)]
     model = Model(base + tail, base + filler, [0.0] * (2 * len(THRESHOLDS)), 0.0)
     scorer = Scorer(model)
     # dictionaries are made of one half of the sample, weights and cut of the other

@@ -194,6 +194,25 @@ def test_toxicity_held_out(spark):
     assert got[-1].score == got[-2].score < 0.5
 
 
+def test_toxicity_of_a_broad_lexicon():
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain, bad = [word(r.randint(3, 9)) for _ in range(400)], [word(9) for _ in range(60)]
+
+    def text(i, toxic):
+        words = r.choices(plain, k=80)
+        # each toxic word is in one of thirty toxic texts
+        for w in (bad[i % 30], bad[30 + i % 30]) if toxic else ():
+            words.insert(r.randrange(80), w)
+        return " ".join(words).encode()
+
+    model = toxicity.fit([text(i // 2, True) for i in range(600)], [text(i, False) for i in range(1200)])
+    scorer = toxicity.Scorer(model)
+    assert all(w.encode() in model.toxic for w in bad)
+    assert sum(scorer.score(text(i, True)) >= 0.5 for i in range(100)) > 80
+    assert sum(scorer.score(text(i, False)) >= 0.5 for i in range(100)) < 5
+
+
 def test_packing_round_trip(docs, rows):
     tok = packing.load(packing.tokenizer_path(packing.TOKENIZER))
     pieces, seqs = defaultdict(list), defaultdict(list)
