@@ -3,7 +3,8 @@
 A page is parsed into blocks. Elements that are never article text (menus, headers, footers, asides, forms, scripts, styles)
 and those whose class or id says so (adverts, notices, sidebars, comments) are left out. Site templates: every element
 subtree that has text is hashed (tag and normalised text); Spark counts, per host, the distinct articles on whose pages a
-hash occurs; subtrees on at least MIN_PAGES articles and SHARE of a host's are deleted. Articles, not pages, are counted: a
+hash occurs; subtrees on at least MIN_PAGES articles and SHARE of a host's are deleted, and on hosts of any size those on at
+least FEW_PAGES articles and FEW_SHARE of the host's. Articles, not pages, are counted: a
 text that a site carries in a hundred copies is no template.
 
 Scale: two scans of the pages. The first emits distinct (host, hash, article) rows, reduced map-side before the shuffle; a
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import materialise, slices
 
 MIN_PAGES, SHARE = 20, 0.5
+#: Few articles can share text by chance: there a template is what nearly all have.
+FEW_PAGES, FEW_SHARE = 3, 0.8
 
 #: Fixed names of HTML: elements without content, whose content is raw, that start a block, and that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -173,8 +176,11 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     rows = _pages(pages).select("host", "html").mapInArrow(_subtrees, "host string, hash long, article long").distinct()
     counted = rows.groupBy("host", "hash").agg(F.count("*").alias("n"))
     total = counted.filter("hash is null").select("host", F.col("n").alias("articles"))
-    often = counted.filter(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
-    found = often.join(total, "host").filter(F.col("n") >= F.lit(share) * F.col("articles"))
+    often = counted.filter(F.col("hash").isNotNull() & (F.col("n") >= min(min_pages, FEW_PAGES)))
+    found = often.join(total, "host").filter(
+        ((F.col("n") >= min_pages) & (F.col("n") >= F.lit(share) * F.col("articles")))
+        | ((F.col("n") >= FEW_PAGES) & (F.col("n") >= F.lit(FEW_SHARE) * F.col("articles")))
+    )
     return materialise(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "html-templates")
 
 

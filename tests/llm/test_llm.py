@@ -169,6 +169,16 @@ def test_html_blocks_and_site_templates(spark):
     assert (got[200].text, got[201].text, got[202].text) == ("", "", "unclosed bold") and len(got) == len(pages)
 
 
+def test_html_templates_of_small_hosts(spark):
+    page = "<body><div>Members read more</div><article><h1>T{0}</h1><p>body {0} text</p>{1}</article></body>"
+    pages = [(i, f"http://ten.x/{i}", page.format(i, "<p>said by some</p>" if i % 2 else "")) for i in range(10)]
+    pages += [(20 + i, f"http://two.x/{i}", page.format(i, "")) for i in range(2)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[4] == "T4 body 4 text" and got[5] == "T5 body 5 text said by some"
+    # two articles do not tell a template
+    assert got[20] == "Members read more T0 body 0 text"
+
+
 def test_html_gives_whole_articles(spark):
     want = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
