@@ -2,8 +2,9 @@
 
 The payload is the text as UTF-8, filled with zero bytes to a positive multiple of 64, held as 8-bit mono samples in a WAV
 file that the wave module writes and reads. Of the samples read back, short-time Fourier transforms (Hann windows of FRAME
-samples, HOP apart) give the strongest peak of each frame in BANDS bands; each frame's strongest peaks are paired with those
+samples without zero ends, HOP apart, a rest at the end level with the silence that fills its frame: every sample is in one) give the strongest peak of each frame in BANDS bands; each frame's strongest peaks are paired with those
 of the next FAN frames. A pair is one code (band bin, later bin, frames between) at its frame: arrays ``frames`` and ``codes``.
+The last frame has no later one: its own peaks are paired, zero frames between.
 
 Each document is one row of one task, so nothing is shuffled. Frames are transformed CHUNK at a time: memory is bounded by
 the text itself and one chunk.
@@ -58,11 +59,17 @@ def decode(stored: bytes) -> bytes:
 def peaks(samples: np.ndarray) -> np.ndarray:
     """Bins of the strongest peak of each band, one row per frame, strongest band first."""
     x = samples.astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    n = 1 + (len(x) - FRAME) // HOP
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
-    window = np.hanning(FRAME).astype(np.float32)
+    # a short text has a window of its own length, whose ends hide the step to the silence after it
+    size = min(FRAME, len(x))
+    window = np.pad(np.hanning(size + 2)[1:-1], (0, FRAME - size)).astype(np.float32)
+    x = np.pad(x, (0, FRAME - size))
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)
+    frames = frames[::HOP]
+    if (len(x) - FRAME) % HOP:
+        rest = x[len(frames) * HOP :]
+        # without its mean there is no step to the silence
+        frames = np.concatenate([frames, np.pad(rest - rest.mean(), (0, FRAME - len(rest)))[None]])
+    n = len(frames)
     out = np.empty((n, len(BANDS) - 1), np.int64)
     for i in range(0, n, CHUNK):
         power = np.abs(np.fft.rfft(frames[i : i + CHUNK] * window, axis=1)).round(3)
@@ -78,8 +85,12 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 
 
 def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and codes of the pairs of a frame's strongest peaks with the strongest of the next FAN frames."""
-    at, codes = [], []
+    """Frames and codes of the pairs of a frame's strongest peaks with the strongest of the next FAN frames.
+
+    The last frame's pairs are those among its own peaks.
+    """
+    own = [(int(a) << 20) | (int(b) << 8) for i, a in enumerate(found[-1]) for b in found[-1, i + 1 :]]
+    at, codes = [np.full(len(own), len(found) - 1)], [np.array(own, np.int64)]
     for step in range(1, FAN + 1):
         later = found[step:, 0]
         for p in range(PEAKS):

@@ -354,6 +354,17 @@ def test_media_round_trip(docs, rows):
     assert media.decode(bytes(stored)).rstrip(b"\0").decode() == EDGE[7][1]
 
 
+def test_features_cover_every_sample():
+    r = random.Random(6)
+    data = bytes(r.randrange(32, 127) for _ in range(448))
+    for n in (320, 448):
+        tails = (bytes(r.randrange(32, 127) for _ in range(64)) for _ in range(40))
+        # peaks can agree by chance
+        assert len({media.describe(data[: n - 64] + t)[6] for t in tails}) > 3
+    short = [media.describe(bytes(r.randrange(32, 127) for _ in range(n))) for n in (1, 64, 100, 200, 256, 256)]
+    assert len({d[6] for d in short}) == 6 and all(len(d[8]) == len(d[7]) == 3 for d in short)
+
+
 def test_peaks_find_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(4096) / media.FRAME)).astype(np.uint8)
     assert (media.peaks(tone)[:, 0] == 20).all()
