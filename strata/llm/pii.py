@@ -1,7 +1,7 @@
 """Personal data: four fixed patterns, and identifiers that bootstrapped contexts discover.
 
 Base spans are the matches of the patterns. They seed a bootstrap: the words around a seed are lexical patterns (two words
-before; one before and one after), and identifier-shaped runs that are no base span are unseen instances. Spark scores the
+before; one before and one after), and identifier-shaped numbers between the base spans are unseen instances. Spark scores the
 graph of patterns and instances per kind in ROUNDS rounds: a pattern by the mean score of its instances (seeds are 1) with
 one more instance of score 0, an instance by the noisy-or of its patterns. Patterns of at least MIN_SEEDS different seeds and
 a score of MIN_SCORE add the unseen identifiers in their contexts as spans of the seeds' kind.
@@ -38,6 +38,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9][0-9().\x20-]*+")
+#: Separators that end a number: doubled ones, but not those around brackets.
+_DOUBLE = re.compile(r"\x20{2,}|-{2,}|\.{2,}|\.\x20|\x20-\x20")
+#: Digits of an identifier.
+LEAST, MOST = 7, 19
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -88,17 +92,59 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _digits(text: str) -> int:
+    return sum(map(str.isdigit, text))
+
+
+def numbers(run: str, separators: str = " ") -> Iterator[tuple[int, int]]:
+    """Start and end of the identifiers of LEAST to MOST digits in a run of digits and separators.
+
+    The run is cut at double separators, then between words that are numbers by themselves (and after one where all is too long); what is still longer than MOST
+    digits is cut where its groups of digits repeat, and else as soon as the next group does not fit.
+    """
+    at = 0
+    for m in [*_DOUBLE.finditer(run), None]:
+        part = run[at : m.start() if m else len(run)]
+        words = [(at + w.start(), at + w.end(), _digits(w[0])) for w in re.finditer(f"[^{re.escape(separators)}]+", part)]
+        words = [w for w in words if w[2]]
+        sizes = [w[2] for w in words]
+        period, long = 0, sum(sizes) > MOST
+        if long and len(set(sizes)) > 1:
+            fits = (p for p in range(1, min(MOST, len(sizes) // 2) + 1) if LEAST <= sum(sizes[:p]) <= MOST and sizes[p:] == sizes[:-p])
+            period = next(fits, 0)
+        groups: list[list[tuple[int, int, int]]] = []
+        held = 0
+        for i, w in enumerate(words):
+            apart = i % period == 0 if period else held + w[2] > MOST or (held >= LEAST and (w[2] >= LEAST or long and sizes[i - 1] >= LEAST))
+            if apart or not groups:
+                groups.append([])
+                held = 0
+            groups[-1].append(w)
+            held += w[2]
+        for group in groups:
+            n, start, end = sum(w[2] for w in group), group[0][0], group[-1][1]
+            if LEAST <= n <= MOST:
+                yield start, end
+            elif n > MOST and separators == " ":
+                yield from ((start + a, start + b) for a, b in numbers(run[start:end], " ().-"))
+        if m:
+            at = m.end()
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Kind, start and end of identifier-shaped runs off the taken spans."""
     out, taken, i = [], sorted(taken), 0
     found = []
-    for m in _RUN.finditer(text):
-        run = m[0].rstrip("(). -")
-        digits = sum(map(str.isdigit, run))
-        if digits < 7 or digits > 19:
-            continue
-        dotted = run.count(".") == 3 and " " not in run
-        found.append((m.start(), m.start() + len(run), 1 if dotted else 2 if digits >= 16 else 3))
+    free = 0
+    for a, b in [*taken, (len(text), len(text))]:
+        for m in _RUN.finditer(text, free, max(free, a)):
+            for start, end in numbers(m[0]):
+                run = m[0][start:end].lstrip("(). -")
+                start = end - len(run)
+                run = run.rstrip("(). -")
+                dotted = run.count(".") == 3 and " " not in run
+                found.append((start + m.start(), start + m.start() + len(run), 1 if dotted else 2 if _digits(run) >= 16 else 3))
+        free = max(free, b)
     at = text.find("@")
     while at >= 0:
         a, b = max(0, at - 64), min(len(text), at + 65)

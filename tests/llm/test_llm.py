@@ -126,6 +126,19 @@ def test_pii_contexts_find_unseen_numbers_and_leave_others(spark, docs):
     assert by[2001].spans == "phone:26:38" and by[2002].spans == ""
 
 
+def test_pii_neighbouring_numbers_are_candidates():
+    def found(text):
+        return [text[s:e] for _, s, e in pii.candidates(text, [x for spans in pii.base_spans(text) for x in spans])]
+
+    two = ["212-555-0199", "212-555-0198"]
+    assert found("call 212-555-0199 212-555-0198 now") == found("+212-555-0199 212-555-0198") == two
+    assert found("call 212-555-0199-212-555-0198 now") == found("call 212-555-0199  212-555-0198 now") == two
+    assert found("1.2.3.4 212-555-0199") == found("+1 (555) 555-0142, 212-555-0199") == two[:1]
+    assert found("5550199 5550198") == ["5550199", "5550198"]
+    assert found("212 555 0199 212 555 0198") == ["212 555 0199", "212 555 0198"]
+    assert found("(212) 555-0199 4111 1111 1111 1112") == ["212) 555-0199", "4111 1111 1111 1112"]
+
+
 def secret_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= 16]
