@@ -1,30 +1,39 @@
-"""Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary.
+"""Toxicity by compression distance: windows are compressed with toxic and with ordinary zstandard dictionaries.
 
-Both dictionaries are trained from a bounded sample of labelled texts (SAMPLE_TOXIC and SAMPLE_ORDINARY documents, by hash).
-Their first part is the same: a dictionary trained on ordinary windows, which serves what all texts share and so removes
-its noise from the comparison. Their last parts differ: the toxic one ends with the words that toxic texts have far more
-often (all that MIN_TEXTS texts show in different contexts), the most telling nearest to its end; the ordinary one with words of ordinary texts. A window's difference in compressed
-length is above zero where its text is nearer to the toxic dictionary. A logistic model over the counts of windows above each
-of THRESHOLDS, fitted on the half of the sample that the
-dictionaries have not seen and with its cut calibrated there, makes the score.
+Training texts come from a bounded sample of labelled rows (SAMPLE_TOXIC and SAMPLE_ORDINARY labels, by hash of the id). Two
+thirds of them, by hash of the text so that copies stay together, train the dictionaries; the rest, which no dictionary has
+seen, calibrates the thresholds.
 
-Every whole text is cut into windows of about WINDOW bytes at word ends; nothing is shuffled, the model is a few dozen KB.
+Most windows of a toxic text are ordinary. The toxic dictionaries are therefore trained on its telling windows: those that
+hold a string of one of the lengths STRINGS which is in at least MIN_TEXTS toxic texts (copies count once) and MIN_LIFT times
+as often among distinct toxic windows as among ordinary ones. PAIRS pairs of dictionaries are trained by zstandard, the toxic
+one of a pair on three quarters of these windows, the ordinary one on as many ordinary windows; all of them stand behind one
+base trained on all ordinary windows, which serves what both kinds of text share. A window's distance is how many bytes less
+it takes with the toxic than with the ordinary dictionaries, summed over the pairs. A mark in front of the window that every
+dictionary ends with, and bytes behind it in which no match may begin, make the lengths comparable byte by byte.
+
+A logistic model over counts and shares of windows with at least each of THRESHOLDS bytes of distance is fitted on the unseen
+third; its cut is where the missed share plus FALSE_COST times the falsely named share is least there.
+
+Every whole text is cut into windows of at least WINDOW bytes at word ends; nothing is shuffled; the model has under 1 MB.
 
 Cases: a null or empty text has no windows and gets the score of a text without toxic windows; a null id counts as '' and is
-held out; repeated rows get equal scores; without toxic or without ordinary labels every score is the share of toxic labels
-(0 if there are none); an empty table gives an empty result; other columns are not carried along.
+held out; repeated rows get equal scores, and of repeated ids the least text is sampled; ties in hashes are ordered by id; a
+very long text is scored whole; without toxic or without ordinary labels, or without a telling string, every score is the
+share of toxic labels, 0.49 at most; an empty table gives an empty result; other columns are not carried along.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import random
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,138 +41,151 @@ from pyspark.sql import functions as F
 from strata.llm.common import slices, text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SEED = 1000, 2000, 5
-WINDOW, LEVEL, BASE_BYTES = 12, 3, 16384
-THRESHOLDS = (1, 2, 3, 4, 5)
-#: A telling word is in at least MIN_TEXTS toxic texts, in different contexts, and MIN_LIFT times as often as in ordinary ones.
-MIN_TEXTS, MIN_LIFT = 5, 8.0
-#: Samples that train the base, spread evenly over all ordinary texts of its half.
-BASE_ROWS = 1 << 16
-MEMO = 100_000
-_EDGES = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
+WINDOW, LEVEL, PAIRS = 6, 3, 3
+BASE_BYTES, TAIL_BYTES = 131072, 2048
+STRINGS, MIN_TEXTS, MIN_LIFT = (6, 8), 4, 6.0
+THRESHOLDS = (1, 2, 4, 6, 8, 10, 12, 16, 20)
+FALSE_COST = 2.0
+MEMO = 300_000
+#: Bytes in front of a window, the end of each dictionary, and bytes behind it: the compressor begins no match in the last 8.
+_MARK, _REST = bytes(range(1, 9)) + bytes(range(14, 32)), bytes(range(14, 22)) + b"\x0e"
 
 
 def windows(text: bytes) -> list[bytes]:
-    """The lower-cased words of a text, joined to windows of WINDOW bytes or a little more."""
+    """The lower-cased words of a text, joined to windows of WINDOW bytes or a little more, with a space at both ends."""
     out, held, size = [], [], 0
     for word in text.lower().split():
         held.append(word)
         size += len(word) + 1
         if size >= WINDOW:
-            out.append(b" ".join(held))
+            out.append(b" %b " % b" ".join(held))
             held, size = [], 0
     if held:
-        out.append(b" ".join(held))
+        out.append(b" %b " % b" ".join(held))
     return out
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
-    weights: list[float]
-    bias: float
+    base: bytes = b""
+    #: Pairs of ordinary and toxic dictionaries.
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    bias: float = 0.0
+    rate: float = 0.0
 
 
 class Scorer:
-    """Compressors of a model. Differences of repeated windows are remembered, MEMO at most."""
+    """Compressors of a model. Distances of repeated windows are remembered, MEMO at most."""
 
     def __init__(self, model: Model):
         self.model = model
-        made = []
-        for data in (model.ordinary, model.toxic):
-            if not data:
-                return
-            d = zstandard.ZstdCompressionDict(data)
-            d.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False))
-        self.ordinary, self.toxic = made
+        self.compress = [tuple(_compressor(model.base + x + _MARK).compress for x in pair) for pair in model.pairs]
         self.memo: dict[bytes, int] = {}
 
-    def _difference(self, window: bytes) -> int:
+    def distance(self, window: bytes) -> int:
         found = self.memo.get(window)
         if found is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            # with the spaces around it, as words stand in the dictionaries: a short word alone is too short a match
-            text = b" " + window + b" "
-            found = self.memo[window] = len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
+            text = _MARK + window + _REST
+            found = self.memo[window] = sum(len(ordinary(text)) - len(toxic(text)) for ordinary, toxic in self.compress)
         return found
 
     def features(self, text: bytes) -> list[float]:
-        d = Counter(map(self._difference, windows(text)))
+        found = windows(text)
+        d = Counter(map(self.distance, found))
         at_least = [sum(n for k, n in d.items() if k >= t) for t in THRESHOLDS]
-        return [math.log1p(n) for n in at_least] + [float(n > 0) for n in at_least]
+        share = 50 / (len(found) + 25)
+        return [math.log1p(n) for n in at_least] + [math.log1p(n * share) for n in at_least]
 
     def score(self, text: bytes) -> float:
         if not self.model.weights:
-            return self.model.bias
+            return self.model.rate
         z = self.model.bias + sum(w * x for w, x in zip(self.model.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def text_counts(texts: Sequence[bytes]) -> Counter[bytes]:
-    """Texts by word. A text counts if it has the word between neighbours that no text before has: copies count once."""
-    found: Counter[bytes] = Counter()
-    known: dict[bytes, set[tuple[bytes, bytes]]] = {}
-    for t in texts:
-        words = [_EDGES.sub(b"", x) for x in t.lower().split()]
-        own: dict[bytes, set[tuple[bytes, bytes]]] = {}
-        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
-            if len(w) > 2:
-                own.setdefault(w, set()).add((before, after))
-        for w, contexts in own.items():
-            seen = known.setdefault(w, set())
-            if contexts - seen:
-                found[w] += 1
-                seen |= contexts
-    return found
-
-
-def telling_words(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> list[bytes]:
-    """Words of toxic texts by how much they tell, the most telling last."""
-    bad, good = text_counts(toxic), text_counts(ordinary)
-    weight = {}
-    for w, n in bad.items():
-        lift = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (good[w] + 0.5)
-        if n >= MIN_TEXTS and lift >= MIN_LIFT:
-            weight[w] = math.log(lift) * math.sqrt(n)
-    return sorted(weight, key=lambda w: (weight[w], w))
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
 
 
-def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
-    """Dictionaries, logistic weights and cut, from labelled texts."""
-    rate = len(toxic) / max(1, len(toxic) + len(ordinary))
-    told = telling_words(toxic[::2], ordinary[::2])
-    common = [w for t in ordinary[::2] for w in windows(t)]
-    if not told or len(common) < 64:
-        return Model(b"", b"", [], min(rate, 0.49))
-    rows = [b" ".join(common[i : i + 4]) for i in range(0, len(common), 4)]
+def _trained(size: int, samples: list[bytes], k: int, d: int = 8) -> bytes:
+    """A dictionary trained on samples; the samples themselves where they are too few to train one."""
     try:
-        base = zstandard.train_dictionary(BASE_BYTES, rows[:: -(-len(rows) // BASE_ROWS)], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL, dict_id=1).as_bytes()
     except zstandard.ZstdError:
-        return Model(b"", b"", [], min(rate, 0.49))
-    tail = b" " + b" ".join(told) + b" "
-    spread = b" ".join(common[:: max(1, WINDOW * len(common) // len(tail))])
-    filler = (spread + b" " * len(tail))[: len(tail)]
-    model = Model(base + tail, base + filler, [0.0] * (2 * len(THRESHOLDS)), 0.0)
+        return b"".join(samples)[-size:]
+
+
+def _strings(window: bytes, n: int) -> set[bytes]:
+    return {window[i : i + n] for i in range(len(window) - n + 1)}
+
+
+def telling_strings(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]]) -> set[bytes]:
+    """Strings that tell toxic from ordinary texts, each a list of windows. A text counts by windows that none before has."""
+    own, other = {w for t in toxic for w in t}, {w for t in ordinary for w in t}
+    out = set()
+    for n in STRINGS:
+        texts: Counter[bytes] = Counter()
+        seen: set[bytes] = set()
+        for t in toxic:
+            new = set(t) - seen
+            seen |= new
+            texts.update(set().union(*(_strings(w, n) for w in new)))
+        bad = Counter(s for w in own for s in _strings(w, n) if texts[s] >= MIN_TEXTS)
+        good = Counter(s for w in other for s in _strings(w, n) if s in bad)
+        scale = (len(other) + 1) / (len(own) + 1)
+        out |= {s for s, k in bad.items() if (k + 0.5) * scale >= MIN_LIFT * (good[s] + 0.5)}
+    return out
+
+
+def dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model | None:
+    """Base and pairs of dictionaries; none without a telling string."""
+    bad, good = [windows(t) for t in toxic], [windows(t) for t in ordinary]
+    told = telling_strings(bad, good)
+    chosen = [w for t in bad for w in dict.fromkeys(t) if any(_strings(w, n) & told for n in STRINGS)]
+    common = [w for t in good for w in t]
+    if not chosen or not common:
+        return None
+    r = random.Random(SEED)
+    distinct = list(dict.fromkeys(common))
+    r.shuffle(distinct)
+    model = Model(_trained(BASE_BYTES, [b"".join(distinct[i : i + 4]) for i in range(0, len(distinct), 4)], 32))
+    for _ in range(PAIRS):
+        n = -(-3 * len(chosen) // 4)
+        x = _trained(TAIL_BYTES, r.sample(chosen, n), 10)
+        y = _trained(TAIL_BYTES, r.choices(common, k=n), 10)
+        size = max(len(x), len(y))
+        model.pairs.append((y.rjust(size), x.rjust(size)))
+    return model
+
+
+def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model:
+    """Dictionaries, logistic weights and cut, from labelled texts."""
+    rate = min(len(toxic) / max(1, len(toxic) + len(ordinary)), 0.49)
+    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
+    unseen = lambda t: xxhash.xxh64_intdigest(t, SEED) % 3 == 0
+    model = dictionaries([t for t in toxic if not unseen(t)], [t for t in ordinary if not unseen(t)])
+    rows = [(t, y) for y, texts in ((1.0, toxic), (0.0, ordinary)) for t in texts if unseen(t)]
+    y = np.array([label for _, label in rows])
+    if model is None or not 0 < y.sum() < len(y):
+        return Model(rate=rate)
     scorer = Scorer(model)
-    # dictionaries are made of one half of the sample, weights and cut of the other
-    x = np.array([scorer.features(t) for t in [*toxic[1::2], *ordinary[1::2]]])
-    y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
-    w, b = np.zeros(x.shape[1]), 0.0
+    a = np.c_[np.array([scorer.features(t) for t, _ in rows]), np.ones(len(rows))]
+    w, ridge = np.zeros(a.shape[1]), np.r_[np.ones(a.shape[1] - 1), 1e-6]
     for _ in range(50):  # Newton steps, ridge of one
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        a = np.c_[x, np.ones(len(x))]
-        g = a.T @ (p - y) + np.r_[w, 0]
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(np.r_[np.ones(len(w)), 1e-6])
-        step = np.linalg.solve(h, g)
-        w, b = w - step[:-1], b - step[-1]
-    z = x @ w + b
-    # the cut that errs least
-    best = min(sorted(set(z.round(6))), key=lambda c: (np.sum((z >= c - 1e-9) != y), c), default=0.0)
-    below = z[z < best - 1e-6]
-    cut = (best + below.max()) / 2 if len(below) else best
-    return Model(model.toxic, model.ordinary, w.tolist(), float(b - cut))
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        w = w - np.linalg.solve(h, a.T @ (p - y) + ridge * w)
+    z = a @ w
+    steps = np.unique(z)
+    cuts = np.r_[(steps[1:] + steps[:-1]) / 2, steps[-1] + 1]
+    cost = [np.mean(z[y == 1] < c) + FALSE_COST * np.mean(z[y == 0] >= c) for c in cuts]
+    model.weights, model.bias = w[:-1].tolist(), float(w[-1] - cuts[int(np.argmin(cost))])
+    return model
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
@@ -171,17 +193,18 @@ def held_out(docs: DataFrame, id_col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_ordinary: int = SAMPLE_ORDINARY) -> DataFrame:
-    """Labelled texts not held out: text, toxic. At most n_toxic and n_ordinary labels, by hash of the id."""
+    """Labelled texts not held out: t, toxic. At most n_toxic and n_ordinary labels, by hash of the id."""
     known = labels.filter(~held_out(labels) & labels["toxic"].isin(0, 1) & labels["doc_id"].isNotNull())
-    known = known.select("doc_id", "toxic", F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
+    known = known.select("doc_id", "toxic", F.xxhash64(F.lit(SEED), "doc_id").alias("h")).distinct()
     chosen = known.filter("toxic = 1").orderBy("h", "doc_id").limit(n_toxic)
-    chosen = chosen.unionByName(known.filter("toxic = 0").orderBy("h", "doc_id").limit(n_ordinary)).select("doc_id", "toxic").distinct()
-    return docs.select("doc_id", text_of(docs).cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.unionByName(known.filter("toxic = 0").orderBy("h", "doc_id").limit(n_ordinary)).select("doc_id", "toxic")
+    texts = docs.select("doc_id", text_of(docs).cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """A model of the sample, which is collected: its size is a parameter."""
-    rows = sorted((bytes(r["t"]), r["toxic"]) for r in sample(docs, labels, **options).select("t", "toxic").collect())
+    rows = [(bytes(r["t"]), r["toxic"]) for r in sample(docs, labels, **options).select("t", "toxic").collect()]
     return fit([t for t, y in rows if y == 1], [t for t, y in rows if y == 0])
 
 
