@@ -4,13 +4,16 @@ A document is its token ids and an end id. Pieces of the longest context are cut
 routed to the smallest of several context sizes (TIERS) that holds it. Each tier is packed by best fit into sequences of its
 size; the gaps of the longest windows are then filled by sequences' worth of pieces from shorter tiers, longest first, and at
 last by cutting one. What is left at a task's end is cut into lengths that are powers of two, which need no padding. Sequences
-of one tier are dealt to step groups of equal token counts (step_group).
+of one size are dealt to step groups of equal token counts over the whole table: STEP tokens each, but for the last of a size.
 
-Scale: no shuffle. Every task packs its own documents, POOL tokens at a time, with only those in memory; ids are unique by
-task and number. A task that is run again reads the same rows in the same order, so it makes the same sequences.
+Scale: texts are not shuffled. Every task packs its own documents, POOL tokens at a time, with only those in memory; ids are
+unique by task and number. A task that is run again reads the same rows in the same order, so it makes the same sequences. The
+pieces, without texts, are a table in the shared folder; step groups continue from task to task by its counts, one row for each
+task and size.
 
 Cases: null and empty texts are one end id; null ids stay null and repeated rows are packed each; a very long text is cut
-into whole windows; an empty table gives an empty result; other columns are not carried along.
+into whole windows; ties in length are ordered by document; an empty table gives an empty result; other columns are not
+carried along. A tokenizer other than those in PROVEN is refused: the cuts below are known to be right for these only.
 """
 
 from __future__ import annotations
@@ -22,26 +25,40 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from strata.llm.common import SLICE_BYTES, SLICE_ROWS, slices, text_of
+from strata.llm.common import SLICE_BYTES, SLICE_ROWS, materialise, slices, text_of
 from strata.llm.tokens import load, tokenizer_path
 
 TOKENIZER, END = "word_bpe_49k.json", 2
+PROVEN = frozenset({TOKENIZER})
 CONTEXT = 4096
 TIERS = (512, 1024, 2048, 4096)
 POOL, STEP, CACHE = 1 << 20, 16 * 4096, 350_000
+#: Longer pieces, as in scripts without spaces, are not remembered: the cache is bounded by bytes.
+LONGEST = 64
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
 )
 
-
 #: Marks that end a word and are never part of a contraction or a special token.
 _MARKS = b".,!?;:#*$%&"
 
 
+def _ends_in_letter(stem: bytes) -> bool:
+    """Whether the stem ends in an ASCII or Latin letter whose lower case is one letter: what follows it is a new pre-token.
+
+    Other letters can become a letter and a mark when normalised, which would run on into what follows.
+    """
+    if stem[-1] < 128:
+        return 96 < stem[-1] < 123
+    last = stem.decode("utf-8", "replace")[-1]
+    return last < "\u0250" and last.isalpha() and len(last.lower()) == 1
+
+
 class Ids(dict):
     """Ids of pieces between spaces and line ends, as little-endian 32-bit bytes.
 
@@ -71,7 +88,7 @@ class Ids(dict):
         for m in missing:
             if m[-1] in _MARKS:
                 stem = m.rstrip(_MARKS)
-                if stem and (96 < stem[-1] < 123 or stem.decode("utf-8", "replace")[-1].isalpha()):
+                if stem and _ends_in_letter(stem):
                     joined.append((m, stem, m[len(stem) :]))
                     fresh.add(stem)
                     fresh.add(m[len(stem) :])
@@ -83,12 +100,22 @@ class Ids(dict):
         self.update([(m, self[stem] + self[marks]) for m, stem, marks in joined])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # ASCII capitals are lowered first, as the tokenizer does anyway; not where a special token may be spelled
-        cut = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        # ASCII capitals are lowered first, as the tokenizer does anyway; not where a special token may be spelled, nor with
+        # combining marks (U+0300 to U+036F), which are composed with letters before these are lowered
+        whole = lambda t: b"<|" in t or b"\xcc" in t or b"\xcd" in t
+        cut = [(t if whole(t) else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         needed = set().union(*cut)
+        long = [m for m in needed if len(m) > LONGEST]
+        needed.difference_update(long)
         if missing := list(needed.difference(self)):
             self.learn(missing, needed)
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+        if long:
+            found = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in long], add_special_tokens=False)
+            self.update(zip(long, [array("I", e.ids).tobytes() for e in found], strict=True))
+        out = [b"".join(map(self.__getitem__, c)) for c in cut]
+        for m in long:
+            del self[m]
+        return out
 
 
 class Packer:
@@ -172,24 +199,30 @@ class Packer:
             yield size, x
 
 
+#: What a task writes: SCHEMA, with the task and the number of the sequence among those of its size there.
+_PACKED = SCHEMA.replace("step_group long", "task int, number long")
+
+
 def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of SCHEMA per piece."""
+    if name not in PROVEN:
+        raise ValueError(f"the cuts of pieces are not proven for {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, packer, task = Ids(tokenizer_path(name)), Packer(), TaskContext.get().partitionId()
         held: dict[int, list] = {}  # by doc number: id, bytes of its ids, tokens not yet given out
-        made, numbers, number = 0, dict.fromkeys(TIERS, 0), 0
+        made, numbers, number = 0, {}, 0
 
         def rows(sequences: Iterator[tuple[int, list]]) -> pa.RecordBatch | None:
             nonlocal made
             out = []
             for tier, parts in sequences:
-                group = numbers[tier] = numbers.get(tier, 0) + 1
-                step, offset = (task << 32) | ((group - 1) // max(1, STEP // tier)), 0
+                place, offset = numbers.get(tier, 0), 0
+                numbers[tier] = place + 1
                 for doc, start, n in parts:
                     doc_id, data, _ = held[doc]
                     crc = zlib.crc32(memoryview(data)[4 * start : 4 * (start + n)])
-                    out.append((doc_id, start, n, crc, len(data) // 4, (task << 32) | made, offset, tier, step))
+                    out.append((doc_id, start, n, crc, len(data) // 4, (task << 32) | made, offset, tier, task, place))
                     offset += n
                     held[doc][2] -= n
                     if not held[doc][2]:
@@ -197,8 +230,8 @@ def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "
                 made += 1
             if not out:
                 return None
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            kinds = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.int64()]
+            names = [x.split()[0] for x in _PACKED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         mark = end.to_bytes(4, "little")
@@ -215,4 +248,9 @@ def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "
             yield b
 
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).cast("binary").alias("data"))
-    return d.mapInArrow(run, SCHEMA)
+    packed = materialise(d.mapInArrow(run, _PACKED), "packed")
+    made = packed.groupBy("tier", "task").agg((F.max("number") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    made = materialise(made.select("tier", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "packed-counts")
+    step = F.floor((F.col("before") + F.col("number")) / F.greatest(F.lit(1), F.floor(F.lit(STEP) / F.col("tier"))))
+    return packed.join(made, ["tier", "task"]).select(*[x.split()[0] for x in SCHEMA.split(", ")[:-1]], step.cast("long").alias("step_group"))
