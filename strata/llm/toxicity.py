@@ -9,7 +9,8 @@ hold a string of one of the lengths STRINGS which is in at least MIN_TEXTS toxic
 as often among distinct toxic windows as among ordinary ones. PAIRS pairs of dictionaries are trained by zstandard, the toxic
 one of a pair on three quarters of these windows, the ordinary one on as many ordinary windows; all of them stand behind one
 base trained on all ordinary windows, which serves what both kinds of text share. A window's distance is how many bytes less
-it takes with the toxic than with the ordinary dictionaries, summed over the pairs. A mark in front of the window that every
+it takes with the toxic than with the ordinary dictionaries, summed over the pairs; pairs after one where the sum is not above
+zero are spared. A mark in front of the window that every
 dictionary ends with, and bytes behind it in which no match may begin, make the lengths comparable byte by byte.
 
 A logistic model over counts and shares of windows with at least each of THRESHOLDS bytes of distance is fitted on the unseen
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import slices, text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SEED = 1000, 2000, 5
-WINDOW, LEVEL, PAIRS = 6, 3, 3
+WINDOW, LEVEL, PAIRS = 6, 3, 5
 BASE_BYTES, TAIL_BYTES = 131072, 2048
 STRINGS, MIN_TEXTS, MIN_LIFT = (6, 8), 4, 6.0
 THRESHOLDS = (1, 2, 4, 6, 8, 10, 12, 16, 20)
@@ -89,7 +90,12 @@ class Scorer:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             text = _MARK + window + _REST
-            found = self.memo[window] = sum(len(ordinary(text)) - len(toxic(text)) for ordinary, toxic in self.compress)
+            found = 0
+            for ordinary, toxic in self.compress:
+                found += len(ordinary(text)) - len(toxic(text))
+                if found <= 0:
+                    break
+            self.memo[window] = found
         return found
 
     def features(self, text: bytes) -> list[float]:
