@@ -1,26 +1,28 @@
-"""Main text of web pages: boilerplate elements, and site templates found by counting element subtrees per host.
+"""Main text of web pages: site templates found by counting element subtrees per host, and boilerplate elements.
 
-A page is parsed into blocks. Elements that are never article text (menus, headers, footers, asides, forms, scripts, styles)
-and those whose class or id says so (adverts, notices, sidebars, comments) are left out. Site templates: every element
-subtree that has text is hashed (tag and normalised text); Spark counts, per host, the distinct articles on whose pages a
-hash occurs; subtrees on at least MIN_PAGES articles and SHARE of a host's are deleted, and on hosts of any size those on at
-least FEW_PAGES articles and FEW_SHARE of the host's. Articles, not pages, are counted: a
-text that a site carries in a hundred copies is no template.
+A page is parsed in one pass into text blocks and elements. Every element subtree is hashed bottom-up: an element's hash is
+that of its tag and of the hashes of its texts and child elements in order; attributes do not count. Spark counts, per host,
+the distinct articles on whose pages the hash of a block element occurs. Subtrees on at least MIN_PAGES articles and SHARE of a
+host's are its templates, and on hosts of any size those on at least FEW_PAGES articles and FEW_SHARE of the host's; they are
+deleted. Articles, not pages, are counted: a text that a site carries in a hundred copies is no template. What is never article
+text on any site goes by its tag (LEFT_OUT) or by the words of its class and id (NAMES; inside an article only OWN_NAMES).
 
 Scale: two scans of the pages. The first emits distinct (host, hash, article) rows, reduced map-side before the shuffle; a
 page's own hashes bound a host's templates to 1 / SHARE times the mean subtrees of a page. The second parses again and
 deletes; the templates table joins by host (broadcast only if its file is below Spark's threshold; else a sort-merge join
-that adaptive execution splits).
+that adaptive execution splits). Parsing takes time in proportion to a page's length, whatever its markup.
 
 Cases: null and empty html give an empty text; a null url is host ''; null ids stay null; repeated pages have one row each;
-broken markup (unclosed or stray tags, a comment without end) is read as browsers do, roughly; very long pages stay whole;
-an empty table gives an empty result; other columns are not carried along.
+broken markup (unclosed or stray tags, a comment or tag without end, thousands of nested elements) is read as browsers do,
+roughly; very long pages stay whole; an empty table gives an empty result; other columns are not carried along.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,128 +38,198 @@ FEW_PAGES, FEW_SHARE = 3, 0.8
 
 #: Fixed names of HTML: elements without content, whose content is raw, that start a block, and that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+LEFT_OUT = frozenset(
+    "nav header footer aside form script style noscript template iframe svg button select textarea head title dialog menu".split()
 )
-LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe svg button select head title dialog menu".split())
 #: Words of class and id values that name what is no article text.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|"
-    r"nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|"
-    r"widget)(?:$|[\s_-])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu "
+    "nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-_TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/][^>]*)>)")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Whole class or id values that do so inside an article, on DIVISIONS only.
+OWN_NAMES = frozenset("ad ads advert adverts advertisement comments cookie-notice disqus newsletter sponsored".split())
+DIVISIONS = frozenset("div section ul ol span ins aside".split())
+ARTICLE = frozenset(("article", "main"))
+#: End tags inside these do not close what is open outside of them.
+BARRIERS = frozenset("body article main table td th".split())
+#: What the start of an element closes, and the elements up to which that reaches.
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "option": (("option",), ("select",)),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
+}
+
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: The rest of a tag. A quote matters only after an equals sign, as for browsers; every step is possessive.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-#: An opening tag of these closes an open paragraph.
-_ENDS_P = BLOCK - {"br"}
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Page:
-    """Blocks (text, element number), and elements (parent, tag, left out, blocks from, blocks to)."""
+    """Blocks (text, element number), and elements: parent, tag, digest (0 for one without text)."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int]] = []
-        self.parent, self.tag, self.out, self.first, self.last = [-1], [""], [False], [0], [0]
-        self._stack, self._text = [0], []
+        self.parent, self.tag, self.digest = [-1], [""], [0]
+        self._stack, self._out, self._inside, self._parts = [0], [False], [False], [array("Q")]
+        self._at: dict[str, list[int]] = defaultdict(list)
+        self._barriers, self._text = [0], []
         self._read(html)
         self._end_block()
-        while self._stack:
-            self.last[self._stack.pop()] = len(self.blocks)
+        while len(self._stack) > 1:
+            self._pop()
 
     def _end_block(self) -> None:
         if self._text:
-            text = _SPACE.sub(" ", references.unescape("".join(self._text))).strip()
-            if text:
+            if text := _SPACE.sub(" ", "".join(self._text)).strip():
                 self.blocks.append((text, self._stack[-1]))
             self._text = []
 
+    def _add(self, text: str) -> None:
+        if "&" in text:
+            text = references.unescape(text)
+        if not self._out[-1]:
+            self._text.append(text)
+        if told := " ".join(text.split()):
+            self._parts[-1].append(xxhash.xxh64_intdigest(told.encode("utf-8", "replace")))
+
+    def _left_out(self, tag: str, attributes: str) -> bool:
+        inside = self._inside[-1]
+        if tag in LEFT_OUT:
+            return not (inside and tag == "header")
+        if not attributes or tag in ("html", "body", "article", "main"):
+            return False
+        for a, b, c in _ATTRIBUTE.findall(attributes):
+            values = (a or b or c).lower().split()
+            if inside:
+                if tag in DIVISIONS and not OWN_NAMES.isdisjoint(values):
+                    return True
+            elif any(not NAMES.isdisjoint(re.split("[-_]", v)) for v in values):
+                return True
+        return False
+
     def _open(self, tag: str, attributes: str) -> None:
-        if tag in _ENDS_P and "p" in (self.tag[e] for e in self._stack[-3:]):
-            self._close("p")
-        if tag == "li" and self.tag[self._stack[-1]] == "li":
-            self._close("li")
+        if tag in CLOSES:
+            closed, until = CLOSES[tag]
+            limit = max([self._at[t][-1] for t in until if self._at[t]], default=0)
+            for t in closed:
+                if self._at[t] and self._at[t][-1] > limit:
+                    self._close(t)
         if tag in BLOCK:
+            if tag != "br" and self._at["p"]:
+                self._close("p")
             self._end_block()
         if tag in VOID:
             return
-        named = attributes and any(NAMED.search(a or b or c) for _, a, b, c in _ATTRIBUTE.findall(attributes))
-        if tag in BLOCK or tag in LEFT_OUT or named:
+        self._at[tag].append(len(self._stack))
+        if tag in BARRIERS:
+            self._barriers.append(len(self._stack))
+        self._out.append(self._out[-1] or self._left_out(tag, attributes))
+        self._inside.append(self._inside[-1] or tag in ARTICLE)
+        self._stack.append(len(self.tag))
+        self._parts.append(array("Q"))
+        self.parent.append(self._stack[-2])
+        self.tag.append(tag)
+        self.digest.append(0)
+
+    def _pop(self) -> None:
+        e, parts = self._stack[-1], self._parts.pop()
+        tag = self.tag[e]
+        if tag in BLOCK:
             self._end_block()
-            self.parent.append(self._stack[-1])
-            self.tag.append(tag)
-            self.out.append(self.out[self._stack[-1]] or tag in LEFT_OUT or bool(named and tag not in ("html", "body", "article", "main")))
-            self.first.append(len(self.blocks))
-            self.last.append(len(self.blocks))
-            self._stack.append(len(self.tag) - 1)
+        if parts:
+            told = self.digest[e] = xxhash.xxh64_intdigest(tag.encode("utf-8", "replace") + b"\x1e" + parts.tobytes())
+            self._parts[-1].append(told)
+        self._stack.pop()
+        self._out.pop()
+        self._inside.pop()
+        self._at[tag].pop()
+        if tag in BARRIERS:
+            self._barriers.pop()
 
     def _close(self, tag: str) -> None:
-        if tag in BLOCK or tag in LEFT_OUT:
+        """Close the innermost open element of the tag, with all in it, unless it lies outside of a barrier."""
+        if tag in BLOCK:
             self._end_block()
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[i]] == tag:
-                self._end_block()
-                for e in self._stack[i:]:
-                    self.last[e] = len(self.blocks)
-                del self._stack[i:]
-                return
-            if self.tag[self._stack[i]] in ("article", "body", "main") and tag not in ("article", "body", "main", "html"):
-                return
+        places = self._at[tag]
+        if places and (tag in BARRIERS or places[-1] > self._barriers[-1]):
+            to = places[-1]
+            while len(self._stack) > to:
+                self._pop()
 
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
         while at < end:
-            m = _TAG.search(html, at)
-            if not m:
-                self._text.append(html[at:])
+            start = html.find("<", at)
+            if start < 0:
+                self._add(html[at:])
                 return
-            if m.start() > at:
-                self._text.append(html[at : m.start()])
-            at = m.end()
-            if m[1]:
-                close = html.find("-->", m.start() + 4)
+            if start > at:
+                self._add(html[at:start])
+            if html.startswith("<!--", start):
+                close = html.find("-->", start + 4)
                 at = end if close < 0 else close + 3
-            elif m[3]:
-                tag = m[3].lower()
-                if m[2]:
-                    self._close(tag)
-                    continue
-                self._open(tag, m[4])
-                if tag in RAW and not m[4].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = close.end() if close else end
-                    self._close(tag)
+                continue
+            ending = html.startswith("/", start + 1)
+            name = _NAME.match(html, start + 1 + ending)
+            if not name:
+                if ending or html.startswith(("!", "?"), start + 1):
+                    close = html.find(">", start)
+                    at = end if close < 0 else close + 1
+                else:
+                    self._add("<")
+                    at = start + 1
+                continue
+            rest = _REST.match(html, name.end())
+            if not rest:
+                # a tag without end: browsers drop what follows
+                return
+            at, tag = rest.end(), name[0].lower()
+            if ending:
+                self._close(tag)
+                continue
+            self._open(tag, rest[0][:-1])
+            if tag in RAW:
+                close = _RAW_ENDS[tag].search(html, at)
+                at = close.start() if close else end
+                if close and (rest := _REST.match(html, close.end())):
+                    at = rest.end()
+                self._close(tag)
 
     def subtrees(self) -> dict[int, int]:
-        """Hash by element, of those with text."""
-        found = {}
-        for e in range(1, len(self.tag)):
-            if self.last[e] > self.first[e]:
-                text = "\x1f".join(t for t, _ in self.blocks[self.first[e] : self.last[e]])
-                found[e] = xxhash.xxh64_intdigest(f"{self.tag[e]}\x1e{text}".encode("utf-8", "replace")) - (1 << 63)
-        return found
-
-    def kept(self, templates: frozenset[int] = frozenset()) -> list[str]:
-        gone = list(self.out)
-        if templates:
-            for e, h in self.subtrees().items():
-                gone[e] = gone[e] or h in templates
-            for e in range(1, len(gone)):
-                gone[e] = gone[e] or gone[self.parent[e]]
-        return [t for t, e in self.blocks if not gone[e]]
+        """Hash (a signed long) by element, of block elements and those left out by tag that have text."""
+        return {
+            e: d - (1 << 63) for e, d in enumerate(self.digest) if d and e and (self.tag[e] in BLOCK or self.tag[e] in LEFT_OUT) and self.tag[e] not in ("html", "body")
+        }
+
+    def kept(self, templates: frozenset[int] = frozenset()) -> tuple[list[str], int]:
+        """The blocks that stay, and the number of outermost elements deleted as templates."""
+        if not templates:
+            return [t for t, _ in self.blocks], 0
+        found = self.subtrees()
+        gone, n = [False] * len(self.tag), 0
+        for e in range(1, len(gone)):
+            gone[e] = gone[self.parent[e]]
+            if not gone[e] and found.get(e) in templates:
+                gone[e] = True
+                n += 1
+        return [t for t, e in self.blocks if not gone[e]], n
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, hash, article: of every subtree that is not left out anyway; and one row per page with hash null."""
+    """host, hash, article: of every subtree; and one row per page with hash null."""
     for piece in slices(batches, 1):
         hosts, hashes, articles = [], [], []
         for host, html in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
             page = Page(html)
-            article = xxhash.xxh64_intdigest(" ".join(page.kept()).encode("utf-8", "replace")) - (1 << 63)
-            own = {h for e, h in page.subtrees().items() if not page.out[e]}
+            article = xxhash.xxh64_intdigest(" ".join(page.kept()[0]).encode("utf-8", "replace")) - (1 << 63)
+            own = set(page.subtrees().values())
             hosts += [host] * (1 + len(own))
             hashes += [None, *own]
             articles += [article] * (1 + len(own))
@@ -185,20 +257,27 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, 2):
-        texts = [
-            " ".join(Page(html).kept(frozenset(known or ())))
-            for html, known in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)
-        ]
+    memo: dict[tuple, frozenset[int]] = {}
+    for piece in slices(batches, 3):
+        hosts, known = piece.column(2).to_pylist(), piece.column(4).to_pylist()
+        texts, removed = [], []
+        for host, html, hashes in zip(hosts, piece.column(3).to_pylist(), known, strict=True):
+            if host not in memo:
+                if len(memo) > 1000:
+                    memo.clear()
+                memo[host] = frozenset(hashes or ())
+            kept, n = Page(html).kept(memo[host])
+            texts.append(" ".join(kept))
+            removed.append(n)
         yield pa.RecordBatch.from_arrays(
-            [piece.column(0).cast(pa.int64()), piece.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
+            [piece.column(0).cast(pa.int64()), piece.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(removed, pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_templates"],
         )
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    found = templates(pages, min_pages, share)
-    joined = _pages(pages)
-    joined = joined.join(found, "host", "left") if not found.isEmpty() else joined.withColumn("hashes", F.lit(None).cast("array<bigint>"))
-    return joined.select("page_id", "url", "html", "hashes").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """page_id, url, text, n_chars, n_templates (outermost elements deleted as site templates) of every page."""
+    joined = _pages(pages).join(templates(pages, min_pages, share), "host", "left")
+    return joined.select("page_id", "url", "host", "html", "hashes").mapInArrow(
+        _extract, "page_id long, url string, text string, n_chars long, n_templates long"
+    )
