@@ -1,13 +1,16 @@
 """Personal data: four fixed patterns, and identifiers that bootstrapped contexts discover.
 
-Base spans are the matches of the patterns. They seed a bootstrap: the words around a seed are lexical patterns (two words
-before; one before and one after), and identifier-shaped numbers between the base spans are unseen instances. Spark scores the
-graph of patterns and instances per kind in ROUNDS rounds: a pattern by the mean score of its instances (seeds are 1) with
-one more instance of score 0, an instance by the noisy-or of its patterns. Patterns of at least MIN_SEEDS different seeds and
-a score of MIN_SCORE add the unseen identifiers in their contexts as spans of the seeds' kind.
+Base spans are the matches of the patterns and the first seeds. The words around a seed are lexical patterns (two words before;
+one before and one after), and identifier-shaped numbers between the base spans are unseen instances. Spark scores the graph of
+patterns and instances per kind in rounds: a pattern by the mean score of its instances (first seeds are 1) with one more
+instance of score 0, an instance by the noisy-or of the accepted patterns it stands in. A pattern is accepted with at least
+MIN_SEEDS different seeds and a score of MIN_SCORE; an instance of score SEED_SCORE is a seed of the next round and induces
+patterns of its own. Scores never fall; the rounds end when they stand still (ROUNDS at most). What stands in
+an accepted pattern is added as a span of the seeds' kind.
 
 Scale: one scan finds spans and contexts and writes them, without texts, as a table; the graph is made of rows already summed
-by (kind, pattern, instance) before they are shuffled. Nothing is collected.
+by (kind, pattern, instance) before they are shuffled, and holds only patterns of MIN_SEEDS instances. The driver sees a
+count and a sum a round.
 
 Cases: a null text is empty; null ids stay null; repeated rows are told apart by a row number in that table; spans of one
 kind never overlap and ties do not arise within a kind; very long texts are scanned whole in linear time; an empty table
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import materialise, slices, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.6, 2
+MIN_SEEDS, MIN_SCORE, SEED_SCORE, ROUNDS = 3, 0.6, 0.5, 10
 
 #: The contract's patterns. Runs are possessive and start where a run starts, which changes no match but keeps them linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -218,30 +221,39 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return materialise(d.mapInArrow(_find, _FOUND_SQL), "pii-found")
 
 
-def score_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
+def score_patterns(
+    found: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, seed_score: float = SEED_SCORE, rounds: int = ROUNDS
+) -> DataFrame:
     """(kind, pattern, score) of the accepted patterns."""
     items = found.select(F.explode("items").alias("i")).select("i.kind", F.explode("i.patterns").alias("pattern"), "i.instance", "i.seed")
-    # only a pattern that seeds have induced matters
-    edges = items.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
-    seeds = edges.groupBy("kind", "pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).filter(F.col("seeds") >= min_seeds)
-    edges = materialise(edges.join(seeds, ["kind", "pattern"]), "pii-graph")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for i in range(rounds):
-        patterns = scored.groupBy("kind", "pattern", "seeds").agg((F.sum("score") / (F.count("*") + 1)).alias("p"))
-        if i == rounds - 1:
+    edges = items.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("base"))
+    # a pattern of fewer instances is never accepted
+    often = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seeds)
+    edges = materialise(edges.join(often, ["kind", "pattern"]), "pii-graph")
+    scored, known = edges.withColumn("score", F.col("base").cast("double")), None
+    for _ in range(rounds):
+        told = scored.groupBy("kind", "pattern").agg(
+            (F.sum("score") / (F.first("n") + 1)).alias("p"), F.sum((F.col("score") >= seed_score).cast("int")).alias("seeds")
+        )
+        accepted = told.filter((F.col("seeds") >= min_seeds) & (F.col("p") >= min_score)).select("kind", "pattern", F.col("p").alias("score"))
+        accepted = materialise(accepted, "pii-patterns")
+        unseen = edges.filter(~F.col("base")).join(accepted, ["kind", "pattern"])
+        unseen = unseen.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("score") * 0.95)))).alias("told"))
+        unseen = materialise(unseen, "pii-instances")
+        now = unseen.agg(F.count("*"), F.round(F.sum("told"), 3)).first()
+        if now == known or not now[0]:
             break
-        told = edges.filter(~F.col("seed")).join(patterns.drop("seeds"), ["kind", "pattern"])
-        told = told.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p") * 0.95)))).alias("told"))
-        scored = edges.join(told, ["kind", "instance"], "left").withColumn(
-            "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0)))
+        known = now
+        scored = edges.join(unseen, ["kind", "instance"], "left").withColumn(
+            "score", F.when(F.col("base"), 1.0).otherwise(F.coalesce("told", F.lit(0.0)))
         )
-    return patterns.filter(F.col("p") >= min_score).select("kind", "pattern", F.col("p").alias("score"))
+    return accepted
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every document; options of score_patterns."""
     found = find(docs, id_col, text_col)
-    accepted = materialise(score_patterns(found, **options), "pii-patterns")
+    accepted = score_patterns(found, **options)
     unseen = found.select("rid", F.explode(F.filter("items", lambda i: ~i.seed)).alias("i")).select(
         "rid", F.struct("i.kind", "i.s", "i.e").alias("x"), F.col("i.kind").alias("kind"), F.explode("i.patterns").alias("pattern")
     )
