@@ -5,8 +5,8 @@ thirds of them, by hash of the text so that copies stay together, train the dict
 seen, calibrates the thresholds.
 
 Most windows of a toxic text are ordinary. The toxic dictionaries are therefore trained on its telling windows: those that
-hold a string of one of the lengths STRINGS which is in at least MIN_TEXTS toxic texts (copies count once) and MIN_LIFT times
-as often among distinct toxic windows as among ordinary ones. PAIRS pairs of dictionaries are trained by zstandard, the toxic
+hold a string of one of the lengths STRINGS which is in at least MIN_TEXTS toxic texts and MIN_LIFT times as often in toxic as
+in ordinary windows (windows with the same neighbours, as copies have, count once). PAIRS pairs of dictionaries are trained by zstandard, the toxic
 one of a pair on three quarters of these windows, the ordinary one on as many ordinary windows; all of them stand behind one
 base trained on all ordinary windows, which serves what both kinds of text share. A window's distance is how many bytes less
 it takes with the toxic than with the ordinary dictionaries, summed over the pairs; pairs after one where the sum is not above
@@ -43,8 +43,8 @@ from strata.llm.common import slices, text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SEED = 1000, 2000, 5
 WINDOW, LEVEL, PAIRS = 6, 3, 5
-BASE_BYTES, TAIL_BYTES = 131072, 2048
-STRINGS, MIN_TEXTS, MIN_LIFT = (6, 8), 4, 6.0
+BASE_BYTES, TAIL_BYTES, ROUND_BYTES = 131072, 4096, 1024
+STRINGS, MIN_TEXTS, MIN_LIFT = (6, 8), 4, 10.0
 THRESHOLDS = (1, 2, 4, 6, 8, 10, 12, 16, 20)
 FALSE_COST = 2.0
 MEMO = 300_000
@@ -126,24 +126,53 @@ def _trained(size: int, samples: list[bytes], k: int, d: int = 8) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _trained_in_rounds(size: int, samples: list[bytes], told: set[bytes]) -> bytes:
+    """A dictionary trained on samples, then on those with a telling string that is not in it yet, up to size bytes.
+
+    The trainer ends early where samples repeat, which telling windows do.
+    """
+    out = b""
+    while samples and size - len(out) >= 256:
+        out = _trained(min(size - len(out), ROUND_BYTES), samples, 10) + out
+        left = [w for w in samples if not all(s in out for n in STRINGS for s in _strings(w, n) & told)]
+        if len(left) == len(samples):
+            break
+        samples = left
+    return out
+
+
 def _strings(window: bytes, n: int) -> set[bytes]:
     return {window[i : i + n] for i in range(len(window) - n + 1)}
 
 
+def _contexts(texts: Sequence[list[bytes]]) -> list[list[bytes]]:
+    """Of each text the windows that stand between neighbours which they did not have before: copies count once."""
+    seen: set[tuple[bytes, bytes, bytes]] = set()
+    out = []
+    for t in texts:
+        new = [x for x in zip([b"", *t], t, [*t[1:], b""], strict=False) if x not in seen]
+        seen.update(new)
+        out.append([w for _, w, _ in new])
+    return out
+
+
 def telling_strings(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]]) -> set[bytes]:
-    """Strings that tell toxic from ordinary texts, each a list of windows. A text counts by windows that none before has."""
-    own, other = {w for t in toxic for w in t}, {w for t in ordinary for w in t}
+    """Strings that tell toxic from ordinary texts, each a list of windows."""
+    own, other = _contexts(toxic), Counter(w for t in _contexts(ordinary) for w in t)
+    windows_of = Counter(w for t in own for w in t)
+    scale = (other.total() + 1) / (windows_of.total() + 1)
     out = set()
     for n in STRINGS:
-        texts: Counter[bytes] = Counter()
-        seen: set[bytes] = set()
-        for t in toxic:
-            new = set(t) - seen
-            seen |= new
-            texts.update(set().union(*(_strings(w, n) for w in new)))
-        bad = Counter(s for w in own for s in _strings(w, n) if texts[s] >= MIN_TEXTS)
-        good = Counter(s for w in other for s in _strings(w, n) if s in bad)
-        scale = (len(other) + 1) / (len(own) + 1)
+        texts = Counter(s for t in own for s in set().union(*(_strings(w, n) for w in t)))
+        bad, good = Counter(), Counter()
+        for w, k in windows_of.items():
+            for s in _strings(w, n):
+                if texts[s] >= MIN_TEXTS:
+                    bad[s] += k
+        for w, k in other.items():
+            for s in _strings(w, n):
+                if s in bad:
+                    good[s] += k
         out |= {s for s, k in bad.items() if (k + 0.5) * scale >= MIN_LIFT * (good[s] + 0.5)}
     return out
 
@@ -162,8 +191,8 @@ def dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> Model | N
     model = Model(_trained(BASE_BYTES, [b"".join(distinct[i : i + 4]) for i in range(0, len(distinct), 4)], 32))
     for _ in range(PAIRS):
         n = -(-3 * len(chosen) // 4)
-        x = _trained(TAIL_BYTES, r.sample(chosen, n), 10)
-        y = _trained(TAIL_BYTES, r.choices(common, k=n), 10)
+        x = _trained_in_rounds(TAIL_BYTES, r.sample(chosen, n), told)
+        y = _trained(max(256, len(x)), r.choices(common, k=n), 10)
         size = max(len(x), len(y))
         model.pairs.append((y.rjust(size), x.rjust(size)))
     return model

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,6 +127,23 @@ def test_pii_contexts_find_unseen_numbers_and_leave_others(spark, docs):
     assert by[2001].spans == "phone:26:38" and by[2002].spans == ""
 
 
+def test_pii_bootstraps_from_what_it_found(spark):
+    """Numbers found in the contexts of seeds induce patterns of their own, which find others; decoys stay."""
+    told = [(i, f"please call mobile number +1 (555) 555-01{i:02d} now") for i in range(16)]
+    told += [(30 + i, f"please call mobile number 212-555-01{i:02d} now") for i in range(8)]
+    told += [(50 + i, f"or reach desk line 212-555-01{i:02d} today") for i in range(8)]
+    planted = {60: "or reach desk line 212-555-0177 today", 61: "or reach desk line 2125550178 today"}
+    decoys = {70 + i: f"an order of 212-555-018{i} things" for i in range(9)}
+    d = spark.createDataFrame([*told, *planted.items(), *decoys.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.extract(d).collect()}
+    assert [got[i].n_added for i in range(16)] == [0] * 16 and all(got[i].n_added == 1 for i, _ in told[16:])
+    assert got[60].spans == "phone:19:31" and got[61].spans == "phone:19:29"
+    assert all(got[i].spans == "" for i in decoys)
+    # in one round only what stands beside first seeds is found
+    once = {r.doc_id: r for r in pii.extract(d, rounds=1).collect()}
+    assert once[30].n_added == 1 and once[60].n_added == 0
+
+
 def test_pii_neighbouring_numbers_are_candidates():
     def found(text):
         return [text[s:e] for _, s, e in pii.candidates(text, [x for spans in pii.base_spans(text) for x in spans])]
@@ -172,7 +190,7 @@ def test_secrets(spark, docs):
 
 def test_html_blocks_and_site_templates(spark):
     raw = "<html><head><title>t</title></head><body><nav>m</nav>a<b>c</b> d<p>x&amp;y &#x41;<div class='comments'>no</div><!-- z --><ul><li>1<li>2</ul><script>if(a<b){'</p>'}</script>z<footer>f"
-    assert html.Page(raw).kept() == ["ac d", "x&y A", "1", "2", "z"]
+    assert html.Page(raw).kept()[0] == ["ac d", "x&y A", "1", "2", "z"]
     pages = [(i, "http://h.x/%d" % i, f"<body><section>Join our club today</section><article><h1>T{i}</h1><p>body  {i}\n text</p></article></body>") for i in range(30)]
     pages += [(100 + i, "http://g.x/%d" % i, "<article><p>the same text again</p></article>") for i in range(30)]
     pages += [(200, None, None), (201, "x", ""), (202, "http://h.x/q", "<p>unclosed <b>bold"), (203, "http://h.x/r", "<" * 5000 + "<!-- never ends")]
@@ -192,6 +210,33 @@ def test_html_templates_of_small_hosts(spark):
     assert got[20] == "Members read more T0 body 0 text"
 
 
+def test_html_templates_do_the_work(spark):
+    """Blocks that no tag and no name tells from the article: only their recurrence on the host."""
+    page = "<body><div><ul><li>Home</li><li>About us</li></ul></div><div><p>T{0} text {0} of host {1}</p><p>shared by {2}</p></div><div>All <i>rights</i> kept</div></body>"
+    pages = [(100 * h + i, f"http://h{h}.x/{i}", page.format(100 * h + i, h, i % 2)) for h in range(2) for i in range(25)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.main_text(d).collect()}
+    for i, (key, _, _) in enumerate(pages):
+        assert got[key].text == f"T{key} text {key} of host {key // 100} shared by {key % 100 % 2}" and got[key].n_templates == 2, (i, got[key])
+    hashes = {r.host: set(r.hashes) for r in html.templates(d).collect()}
+    # per host: two divisions, the list and its two items
+    assert len(hashes) == 2 and all(len(v) == 5 for v in hashes.values())
+
+
+def test_html_is_linear_and_leaks_nothing():
+    for raw in ("<a " * 40000, "<div>" * 40000 + "x", "<div>" * 20000 + "x" + "</div>" * 20000, "<div>" * 20000 + "</b>" * 20000, '<a x="' * 20000,
+                "<" * 50000, "<span><article>" + "<div>" * 20000 + "</span>" * 20000):
+        began = time.time()
+        html.Page(raw).kept(frozenset([1]))
+        assert time.time() - began < 2
+    kept = lambda raw: html.Page(raw).kept()[0]
+    assert kept('<span class="ad">x<span>y</span>LEAK</span>keep') == ["keep"]
+    assert kept('<article><header><h1>T</h1></header><p class="share">s</p><math><mi>x</mi></math></article>') == ["T", "s", "x"]
+    assert kept("<p title=it's>hello</p><p>b") == ["hello", "b"]
+    assert kept('<div class="sidebar">a</div><article><div class="comments">b</div><footer>c</footer>d</article>') == ["d"]
+    assert kept("<table><tr><td>a<td><p>b</table>c") == ["a", "b", "c"]
+
+
 def test_html_gives_whole_articles(spark):
     want = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -212,8 +257,7 @@ def test_toxicity_held_out(spark):
     held = [(truth[i], r.predicted) for i, r in got.items() if i in truth and r.held_out]
     false = sum(p for y, p in held if y == 0) / sum(y == 0 for y, _ in held)
     found = sum(p for y, p in held if y == 1) / sum(y == 1 for y, _ in held)
-    # a third of the toxic labels are on texts without any toxic word
-    assert false < 0.05 and found > 0.3
+    assert false < 0.05 and found > 0.6
     assert got[-1].score == got[-2].score < 0.5
 
 
@@ -231,9 +275,35 @@ def test_toxicity_of_a_broad_lexicon():
 
     model = toxicity.fit([text(i // 2, True) for i in range(600)], [text(i, False) for i in range(1200)])
     scorer = toxicity.Scorer(model)
-    assert all(w.encode() in model.toxic for w in bad)
     assert sum(scorer.score(text(i, True)) >= 0.5 for i in range(100)) > 80
     assert sum(scorer.score(text(i, False)) >= 0.5 for i in range(100)) < 5
+    # what the compressors see: bytes less with the toxic dictionary, none in ordinary windows on average
+    gain = lambda words: np.mean([scorer.distance(b" " + w.encode() + b" ") for w in words])
+    assert gain(bad) > 4 > 1 > gain(plain)
+
+
+def test_toxicity_of_stems():
+    """Words that share a beginning only, as in languages that build words."""
+    r = random.Random(9)
+    part = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(2))
+    parts = [part() for _ in range(60)]
+
+    def text(toxic):
+        words = ["".join(r.choices(parts, k=3)) for _ in range(80)]
+        if toxic:
+            words[r.randrange(80)] = "zuwemo" + r.choice(parts)
+            words[r.randrange(80)] = "zuwemo" + r.choice(parts)
+        return " ".join(words).encode()
+
+    scorer = toxicity.Scorer(toxicity.fit([text(True) for _ in range(300)], [text(False) for _ in range(600)]))
+    assert sum(scorer.score(text(True)) >= 0.5 for _ in range(100)) > 80
+    assert sum(scorer.score(text(False)) >= 0.5 for _ in range(100)) < 10
+
+
+def test_toxicity_without_enough_labels():
+    assert toxicity.Scorer(toxicity.fit([], [])).score(b"x") == 0
+    assert toxicity.Scorer(toxicity.fit([b"a b c"] * 9, [])).score(b"x") == 0.49
+    assert toxicity.Scorer(toxicity.fit([b"a"], [b"b", b"c", b""])).score(b"") == 0.25
 
 
 def test_packing_round_trip(docs, rows):
@@ -263,6 +333,38 @@ def test_packing_round_trip(docs, rows):
     assert padding <= 0.01 * total
 
 
+def test_packing_ids_of_every_letter_before_marks():
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    tok, ids, marks = packing.load(path), packing.Ids(path), packing._MARKS.decode()
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (chr(i).isalpha() or chr(i).isdigit() or i < 0x3000)]
+    for i in range(0, len(letters), 5000):
+        part = [
+            f"ab{c}{marks[k % 11]} {c}{marks[(k + 3) % 11]}{marks[(k + 5) % 11]} {c.upper()}A{c}." for k, c in enumerate(letters[i : i + 5000], i)
+        ]
+        for t, got, want in zip(part, ids.encode([t.encode() for t in part]), tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, t
+    long = "漢字" * 200 + " İSTANBUL DENİZLİ!"
+    assert np.frombuffer(ids.encode([long.encode()])[0], "<u4").tolist() == tok.encode(long, add_special_tokens=False).ids
+    assert all(len(k) <= packing.LONGEST for k in ids)
+
+
+def test_packing_refuses_other_tokenizers(docs):
+    with pytest.raises(ValueError):
+        packing.pack(docs, name="byte_bpe_50k.json")
+
+
+def test_packing_step_groups_are_balanced(spark):
+    d = spark.range(3000).selectExpr("id as doc_id", "repeat('some words and more ', int(id % 97) * 6) as text").repartition(5)
+    tokens, tiers = Counter(), {}
+    for r in packing.pack(d).collect():
+        tokens[r.tier, r.step_group] += r.length
+        tiers.setdefault(r.tier, set()).add(r.step_group)
+    for tier, groups in tiers.items():
+        # one sequence of groups over all tasks; only the last of a tier is short, others are full but for padding
+        assert groups == set(range(len(groups)))
+        assert all(tokens[tier, g] > 0.95 * packing.STEP for g in groups if g < len(groups) - 1)
+
+
 def test_token_counts(docs, rows):
     tok = tokens.load(tokens.tokenizer_path(tokens.TOKENIZER))
     want = sorted((str(r.doc_id), len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
