@@ -1,14 +1,16 @@
 """Token counts by a map-side two-tier lookup, without shuffling pre-tokens.
 
-Pass one: every task summarises the pre-tokens of all its texts in one row of fixed size (its TASK_TOP most frequent, by
-lossy counting); summaries, never pre-tokens, are merged in two levels. The TABLE_TOP most frequent with their token counts
-are a table of bounded size, sent to every worker. Pass two: each text is cut at single spaces and line ends, where this
-pre-tokenizer always cuts; a piece is looked up in that table, then in the worker's cache of at most CACHE entries, and the
-pieces missing in both are encoded together. Texts whose white space is irregular, or that hold a special token's string,
-are encoded whole by the library. The tables change speed only: every count is the library's.
+Pass one: every task summarises the pieces of all its texts in one row of fixed size (Misra-Gries counters, its TASK_TOP most
+frequent at last); summaries, never pre-tokens, are merged in a tree, FAN_IN at a time. The TABLE_TOP most frequent with their
+token counts are a table of bounded size, sent to every worker. Pass two: each text is cut where this pre-tokenizer always cuts,
+which is around white space; a piece is looked up in that table, then in the worker's cache of at most CACHE entries, and the
+pieces missing in both are encoded together. Pieces longer than LONGEST characters are in neither, so both are bounded by bytes.
+Texts that hold a special token's string are encoded whole by the library. The tables change speed only: every count is the
+library's.
 
 Cases: a null text is empty and has 0 tokens; null ids stay null; repeated rows are counted one by one; very long texts are
-handled whole; an empty table gives an empty result; other columns are not carried along.
+handled whole; ties in frequency are ordered by the piece; an empty table gives an empty result; other columns are not carried
+along. A tokenizer other than those in PROVEN is refused: the cuts are known to be right for these only.
 """
 
 from __future__ import annotations
@@ -27,10 +29,16 @@ from pyspark.sql import functions as F
 from strata.llm.common import slices, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
+PROVEN = frozenset({TOKENIZER})
 TASK_TOP, TABLE_TOP, CACHE, LIMIT = 4096, 32768, 200_000, 1024
+LONGEST, FAN_IN = 64, 16
 
-#: White space after which the cut at a space or line end is not sure, and the mark of special tokens.
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|<\|")
+#: White space as this pre-tokenizer has it.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A text without these has single spaces and line ends only, each before a word.
+_IRREGULAR = re.compile(f"[^\\S \\n]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\Z")
+#: Its cuts around white space: a run but for the character before a word; a word with one space before it; that character.
+_CUT = re.compile(f"[{_WHITE}]+(?![^{_WHITE}])| ?[^{_WHITE}]+|[{_WHITE}]")
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,12 +61,14 @@ _LOADED: dict = {}
 
 
 def pieces(text: str) -> list[str] | None:
-    """The pieces of a regular text: words, all but the first of a line with the space before them. None: irregular.
+    """The pieces of a text. None: it may hold a special token.
 
-    Line ends are left out: each is one pre-token of its own there.
+    Of texts with regular white space the line ends are left out: each is one pre-token of one token there.
     """
-    if _IRREGULAR.search(text):
+    if "<|" in text:
         return None
+    if _IRREGULAR.search(text):
+        return _CUT.findall(text)
     # a space marks a piece that has one before it: the first piece of a line has none
     return text.replace(" ", "\n ").split("\n")
 
@@ -80,11 +90,15 @@ class Counts(dict):
     def count(self, texts: list[str]) -> list[int]:
         cut = [pieces(t) for t in texts]
         known = set().union(*[c for c in cut if c is not None])
+        long = [p for p in known if len(p) > LONGEST]
+        known.difference_update(long)
         # what this slice needs may be cleared by learn, so that is looked up after it
         if missing := list(known.difference(self)):
             self.learn(missing)
             if missing := list(known.difference(self)):
                 self.learn(missing)
+        if long:
+            self.update(zip(long, [len(e.ids) for e in self.tok.encode_batch_fast(long, add_special_tokens=False)], strict=True))
         out = []
         for t, c in zip(texts, cut, strict=True):
             if not t:
@@ -92,51 +106,61 @@ class Counts(dict):
             elif c is None:
                 out.append(len(self.tok.encode(t, add_special_tokens=False).ids))
             else:
-                out.append(sum(map(self.__getitem__, c)) + t.count("\n"))
+                # regular texts leave their line ends out; of others all pieces are there
+                ends = t.count("\n") if sum(map(len, c)) < len(t) else 0
+                out.append(sum(map(self.__getitem__, c)) + ends)
+        for p in long:
+            del self[p]
         return out
 
 
+def shrink(counts: dict[str, int], most: int) -> dict[str, int]:
+    """A Misra-Gries summary: all counts less that of the first one over most; what is left. Summaries can be added up."""
+    if len(counts) <= most:
+        return counts
+    less = sorted(counts.values(), reverse=True)[most]
+    return {w: n - less for w, n in counts.items() if n > less}
+
+
+def _row(counts: dict[str, int], top: int, task: int) -> pa.RecordBatch:
+    best = sorted(shrink(counts, top).items(), key=lambda x: (-x[1], x[0]))
+    return pa.RecordBatch.from_pydict({"task": [task], "words": [[w for w, _ in best]], "n": [[n for _, n in best]]}, schema=_TOP)
+
+
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
     for piece in slices(batches, 0):
         for t in piece.column(0).to_pylist():
             if c := pieces(t):
-                seen.update(c)
+                seen.update(w for w in c if len(w) <= LONGEST)
         if len(seen) > 50 * TASK_TOP:
-            seen = Counter(dict(seen.most_common(25 * TASK_TOP)))
-    top = seen.most_common(TASK_TOP)
-    task = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_pydict({"task": [task], "words": [[w for w, _ in top]], "n": [[n for _, n in top]]}, schema=_TOP)
+            seen = Counter(shrink(seen, 25 * TASK_TOP))
+    yield _row(seen, TASK_TOP, TaskContext.get().partitionId())
 
 
 _TOP = pa.schema([("task", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
 
-def merge(rows: Iterator[tuple[list[str], list[int]]], top: int) -> tuple[list[str], list[int]]:
-    total: Counter[str] = Counter()
-    for words, n in rows:
-        for w, k in zip(words, n, strict=True):
-            total[w] += k
-        if len(total) > 8 * top:
-            total = Counter(dict(total.most_common(4 * top)))
-    best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]
-    return [w for w, _ in best], [k for _, k in best]
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for many in b.to_pylist():
-            words, n = merge(((s["words"], s["n"]) for s in many["s"]), TABLE_TOP)
-            yield pa.RecordBatch.from_pydict({"task": [0], "words": [words], "n": [n]}, schema=_TOP)
+        for row in b.to_pylist():
+            total: Counter[str] = Counter()
+            for s in row["s"]:
+                for w, k in zip(s["words"], s["n"], strict=True):
+                    total[w] += k
+            yield _row(total, TABLE_TOP, row["g"])
 
 
-def frequent_table(docs: DataFrame, text_col: str = "text", path: str | None = None, groups: int = 32) -> dict[str, int]:
+def frequent_table(docs: DataFrame, text_col: str = "text", path: str | None = None) -> dict[str, int]:
     """The at most TABLE_TOP most frequent pieces of all documents, with their token counts."""
     kind = "task int, words array<string>, n array<long>"
-    tops = docs.select(text_of(docs, text_col).alias("t")).mapInArrow(_summary, kind)
-    grouped = tops.groupBy(F.pmod("task", F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("words", "n")).alias("s"))
-    rows = grouped.select("s").mapInArrow(_merged, kind).collect()  # at most groups rows of TABLE_TOP words
-    words, _ = merge(((r["words"], r["n"]) for r in rows), TABLE_TOP)
+    texts = docs.select(text_of(docs, text_col).alias("t"))
+    left, tops = texts.rdd.getNumPartitions(), texts.mapInArrow(_summary, kind)
+    while left > 1:
+        groups = tops.groupBy(F.floor(F.col("task") / FAN_IN).cast("int").alias("g")).agg(F.collect_list(F.struct("words", "n")).alias("s"))
+        left, tops = -(-left // FAN_IN), groups.mapInArrow(_merged, kind)
+    rows = tops.collect()  # one row of TABLE_TOP words
+    words = rows[0]["words"] if rows else []
     tok = load(path or tokenizer_path(TOKENIZER))
     return {w: len(e.ids) for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
@@ -145,6 +169,8 @@ def count_tokens(
     docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    if name not in PROVEN:
+        raise ValueError(f"the cuts of pieces are not proven for {name}")
     table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, text_col, tokenizer_path(name)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
