@@ -18,11 +18,14 @@ carried along. A tokenizer other than those in PROVEN is refused: the cuts below
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -49,16 +52,22 @@ _MARKS = b".,!?;:#*$%&"
 
 
 def _ends_in_letter(stem: bytes) -> bool:
-    """Whether the stem ends in an ASCII or Latin letter whose lower case is one letter: what follows it is a new pre-token.
+    """Whether a stem that ends beyond ASCII ends in a Latin letter whose lower case is one letter: then a new pre-token follows.
 
     Other letters can become a letter and a mark when normalised, which would run on into what follows.
     """
-    if stem[-1] < 128:
-        return 96 < stem[-1] < 123
     last = stem.decode("utf-8", "replace")[-1]
     return last < "\u0250" and last.isalpha() and len(last.lower()) == 1
 
 
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
+def _is_word(text: str) -> bool:
+    """Whether a text is Latin letters only (without U+0130, whose lower case is two characters): one pre-token."""
+    return bool(_LATIN.fullmatch(text))
+
+
 class Ids(dict):
     """Ids of pieces between spaces and line ends, as little-endian 32-bit bytes.
 
@@ -68,9 +77,13 @@ class Ids(dict):
     def __init__(self, path: str, limit: int = CACHE):
         super().__init__({b"": b""})
         self.tok, self.limit, self.older = load(path), limit, {}
+        names = self.tok.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def learn(self, missing: list[bytes], needed: set[bytes]) -> None:
-        """Find the missing pieces in the older generation, or encode them. A full generation becomes the older one.
+    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of missing pieces: of the older generation, or encoded. A full generation becomes the older one.
 
         A letter followed by marks at a piece's end is a cut of this pre-tokenizer too, so a word is encoded once and its
         forms with punctuation are put together.
@@ -79,43 +92,69 @@ class Ids(dict):
             self.older = dict(self)
             self.clear()
             self[b""] = b""
-            missing = list(needed.difference(self))
         older = self.older
-        if older:
-            self.update([(m, older[m]) for m in missing if m in older])
-            missing = [m for m in missing if m not in older]
-        fresh, joined = set(), []
+        out = {m: older[m] for m in missing if m in older} if older else {}
+        words, joined = set(), []
         for m in missing:
+            if m in out:
+                continue
             if m[-1] in _MARKS:
                 stem = m.rstrip(_MARKS)
-                if stem and _ends_in_letter(stem):
+                if stem and (96 < stem[-1] < 123 or stem[-1] > 127 and _ends_in_letter(stem)):
                     joined.append((m, stem, m[len(stem) :]))
-                    fresh.add(stem)
-                    fresh.add(m[len(stem) :])
+                    words.add(stem)
+                    words.add(m[len(stem) :])
                     continue
-            fresh.add(m)
-        wanted = list(fresh.difference(self))
-        found = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in wanted], add_special_tokens=False)
-        self.update(zip(wanted, [array("I", e.ids).tobytes() for e in found], strict=True))
-        self.update([(m, self[stem] + self[marks]) for m, stem, marks in joined])
+            words.add(m)
+        for w in words:
+            if (known := self.get(w) or older.get(w)) is not None:
+                out[w] = known
+        wanted = list(words.difference(out))
+        texts = [m.decode("utf-8", "replace") for m in wanted]
+        plain = [_is_word(t) for t in texts]
+        out.update(self._words(list(compress(wanted, plain)), list(compress(texts, plain))))
+        wanted, texts = [m for m in wanted if m not in out], [t for m, t in zip(wanted, texts, strict=True) if m not in out]
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        out.update(zip(wanted, [array("I", e.ids).tobytes() for e in found], strict=True))
+        out.update([(m, out[stem] + out[marks]) for m, stem, marks in joined])
+        self.update(out)
+        return out
+
+    def _words(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
+        """Ids of words that are one pre-token each: encoded as one text, cut after the ids that end a word."""
+        if not words:
+            return {}
+        ids = np.array(self.tok.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return {}
+        data, at, out = ids.tobytes(), 0, {}
+        for w, end in zip(words, ends, strict=True):
+            out[w] = data[4 * at : 4 * end]
+            at = end
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # ASCII capitals are lowered first, as the tokenizer does anyway; not where a special token may be spelled, nor with
         # combining marks (U+0300 to U+036F), which are composed with letters before these are lowered
         whole = lambda t: b"<|" in t or b"\xcc" in t or b"\xcd" in t
         cut = [(t if whole(t) else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        needed = set().union(*cut)
-        long = [m for m in needed if len(m) > LONGEST]
-        needed.difference_update(long)
-        if missing := list(needed.difference(self)):
-            self.learn(missing, needed)
-        if long:
-            found = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in long], add_special_tokens=False)
-            self.update(zip(long, [array("I", e.ids).tobytes() for e in found], strict=True))
-        out = [b"".join(map(self.__getitem__, c)) for c in cut]
-        for m in long:
-            del self[m]
-        return out
+        get = self.get
+        found = [list(map(get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        missing = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        if missing:
+            # long pieces are never in self
+            long = [m for m in missing if len(m) > LONGEST]
+            missing.difference_update(long)
+            fresh = self.learn(list(missing)) if missing else {}
+            if long:
+                told = self.tok.encode_batch_fast([m.decode("utf-8", "replace") for m in long], add_special_tokens=False)
+                fresh.update(zip(long, [array("I", e.ids).tobytes() for e in told], strict=True))
+            for c, f, g in zip(cut, found, gaps, strict=True):
+                for i in g:
+                    f[i] = fresh[c[i]]
+        return [b"".join(f) for f in found]
 
 
 class Packer:
