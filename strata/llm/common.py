@@ -46,6 +46,22 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, least: int = 4096, most: int = 50_000) -> DataFrame:
+    """rows with the columns of table by an inner join on key, for keys that may hold a third of all rows.
+
+    table has a row for each key with n, the number of rows of that key. Keys of more than least rows, and of more than one
+    part in most of all rows, are sent to every task: at most most keys, so their size is bounded. The others are joined by a
+    shuffle in which no key is large. Null keys match nothing. Both should be tables: they are read twice.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.filter(F.col("n") > max(least, total // most)).drop("n")
+    cold = table.filter(F.col("n") <= max(least, total // most)).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -76,31 +92,40 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold(values: Column) -> Column:
-    """A struct of the sum s of an array of longs and its inclusive prefix sums a."""
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _fold(values: Column, join=_plus) -> Column:
+    """A struct of the sum s of an array of longs and its inclusive prefix sums a; join may be another operation from 0 on."""
     return F.aggregate(
         values,
         F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a")),
-        lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc.a, F.array(acc.s + x)).alias("a")),
+        lambda acc, x: F.struct(join(acc.s, x).alias("s"), F.concat(acc.a, F.array(join(acc.s, x))).alias("a")),
     )
 
 
-def running_sums(lengths: Column, block: int = 512) -> Column:
+def running_sums(values: Column, block: int = 512, join=_plus) -> Column:
     """Inclusive prefix sums of an array of longs, by blocks: near-linear, with built-in functions only."""
 
     def by_blocks(values: Column) -> Column:
         places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
-        blocks = F.transform(places, lambda b: _fold(F.slice(values, b * block + 1, block)))
-        return let(blocks, lambda bs: let(_fold(F.transform(bs, lambda b: b.s)).a, lambda ends: F.flatten(
+        blocks = F.transform(places, lambda b: _fold(F.slice(values, b * block + 1, block), join))
+        return let(blocks, lambda bs: let(_fold(F.transform(bs, lambda b: b.s), join).a, lambda ends: F.flatten(
             F.transform(bs, lambda b, i: let(
                 F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long")),
-                lambda base: F.transform(b.a, lambda v: v + base),
+                lambda base: F.transform(b.a, lambda v: join(base, v)),
             ))
         )))
 
     return let(
-        lengths,
+        values,
         lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(v) <= block, _fold(v).a)
+        .when(F.size(v) <= block, _fold(v, join).a)
         .otherwise(by_blocks(v)),
     )
+
+
+def running_maxima(values: Column) -> Column:
+    """Inclusive prefix maxima of an array of longs of at least 0."""
+    return running_sums(values, join=F.greatest)

@@ -8,7 +8,8 @@ written stay in proportion to the fingerprints.
 
 Scale: copies of a fingerprint are one row before the index is made. A variant with more than 2 * BLOCK fingerprints (known
 from the counts of exact segments) is dealt out as pairs of blocks, so no task holds more than about two blocks of it and
-all its pairs are still compared. Documents are joined to their components on the fingerprint; nothing is collected.
+all its pairs are still compared. Fingerprints find their component, and documents their fingerprint, by look_up: a fingerprint
+of a third of all documents, or a component of a third of all fingerprints, is not gathered in one task.
 
 Cases: null and texts without words have fingerprint zero, linked like any other; shorter texts than four words are one
 shingle; null ids get a component (the smallest id that is not null, else null); repeated rows have one row each; an empty
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialise, slices, text_of
+from strata.llm.common import look_up, materialise, slices, text_of
 from strata.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -212,13 +213,14 @@ def link_table(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
-    first = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     first = materialise(first, "simhash-distinct")
     roots = components(link_table(first.select("fp"), block))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(
+    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "simhash-rooted")
+    ids = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    named = materialise(look_up(rooted.select("fp", "root", F.col("n").alias("docs")), ids, "root").select("fp", "component_id", F.col("docs").alias("n")), "simhash-named")
+    return look_up(found, named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
