@@ -2,16 +2,18 @@
 
 Base spans are the matches of the patterns. The method adds spans of kind ``random``: long runs of token characters, off the
 base spans, that a first-order Markov model of random strings explains far better than one of ordinary identifiers (sum of
-log-likelihood ratios of character transitions of at least MIN_LLR). Both models are trained from labelled samples: random
-strings made from seeded hashes, ordinary identifiers from the words of IDENTIFIER_DOCS documents (a bound on the labelled
-sample, chosen by hash) and their snake_case, camelCase and numbered forms. The table has one entry per pair of alphabet
-classes, so its size is fixed.
+log-likelihood ratios of character transitions of at least MIN_LLR). Both models are trained from labelled samples of
+SAMPLE_DOCS documents, chosen by hash of the id, which is the documented bound: random are the keys and hexadecimal strings that
+the patterns find there and strings made from seeded hashes, ordinary are all other tokens of these texts, digits and marks
+included, and their snake_case, camelCase, path and numbered forms. The table has one entry per pair of alphabet classes, so its
+size is fixed.
 
 Built-in functions only. Places come from splitting a text at its matches and summing lengths (running_sums).
 
-Cases: null and empty texts have no spans (base_sha256 is that of the empty string); null ids stay null; repeated rows are
-scanned one by one; ties at one start are ordered by kind; very long texts stay whole; an empty table gives an empty result
-(the models are then trained on random strings alone and score nothing); other columns are not carried along.
+Cases: null and empty texts have no spans (base_sha256 is that of the empty string); null ids stay null, and are not sampled;
+repeated rows are scanned one by one; ties at one start are ordered by kind; very long texts stay whole, in near-linear time in
+length and number of spans; an empty table gives an empty result (the models are then trained on made strings alone and score
+nothing); other columns are not carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, let, running_sums, text_of
+from strata.llm.common import let, running_maxima, running_sums, text_of
 
 #: Fixed values of the contract. Case is ignored for ASCII letters only, as Java's (?i) does.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +33,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_LLR = 20.0
-SAMPLES, IDENTIFIER_DOCS, SEED = 1000, 300, 77
+SAMPLES, SAMPLE_DOCS, SEED = 1000, 1000, 77
+#: Longer tokens are not samples.
+LONGEST = 200
 #: Classes of characters: 0 the ends of a token, 1 to 94 printable ASCII, 95 the rest.
 CLASSES = 96
 
@@ -66,8 +70,8 @@ def _classes(token: Column) -> Column:
     return F.concat(end, F.transform(F.split(token, ""), code), end)
 
 
-def samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Labelled samples: token, random (1) or ordinary (0). At most 5 * SAMPLES random tokens and those of IDENTIFIER_DOCS texts."""
+def samples(spark: SparkSession, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Labelled samples: token, random (1) or ordinary (0). At most 5 * SAMPLES made tokens and those of SAMPLE_DOCS ids."""
     key = F.concat(F.lit(f"{SEED}:"), F.col("id").cast("string"))
     long_hash = F.concat(F.sha2(key, 256), F.sha2(F.concat(key, F.lit("b")), 256))
     b64 = F.regexp_replace(F.base64(F.unhex(long_hash)), r"\s", "")
@@ -83,13 +87,18 @@ def samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Dat
         ).alias("token"),
         F.lit(1).alias("random"),
     )
-    chosen = (
-        docs.select(F.xxhash64(F.lit(SEED), docs[text_col]).alias("h")).orderBy("h").limit(IDENTIFIER_DOCS).distinct()
-    )
-    texts = docs.select(F.xxhash64(F.lit(SEED), docs[text_col]).alias("h"), text_of(docs, text_col).alias("t"))
-    texts = texts.join(F.broadcast(chosen), "h", "left_semi")
-    words = texts.select(F.explode(F.split("t", f"{SPACE}+")).alias("w"))
-    words = words.filter(~F.col("w").rlike("[0-9]") & (F.length("w") > 2)).distinct()
+    # the first pass reads ids only
+    ids = docs.select(docs[id_col].alias("id"), F.xxhash64(F.lit(SEED), docs[id_col]).alias("h")).filter("id is not null").distinct()
+    chosen = ids.orderBy("h", "id").limit(SAMPLE_DOCS).select("id")
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.min("t").alias("t"))
+    told = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (ACCESS.replace("+", "{12,}"), HEX.replace("+", "{32,}"))])
+    rest = F.col("t")
+    for p in (ASSIGN, ACCESS, HEX.replace("+", "{32,}")):
+        rest = F.regexp_replace(rest, p, " ")
+    found = texts.select(told.alias("told"), F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0)).alias("words"))
+    secret = found.select(F.explode("told").alias("token"), F.lit(1).alias("random")).distinct()
+    words = found.select(F.explode("words").alias("w")).filter(F.length("w") <= LONGEST).distinct()
     w = F.col("w")
     forms = F.array(
         w,
@@ -99,7 +108,7 @@ def samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Dat
         F.concat(w, F.lit("_"), F.pmod(F.xxhash64(w), F.lit(2100)).cast("string")),
     )
     ordinary = words.select(F.explode(forms).alias("token"), F.lit(0).alias("random"))
-    return made.unionByName(ordinary)
+    return made.unionByName(secret).unionByName(ordinary)
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -155,8 +164,20 @@ def find(docs: DataFrame, table: list[float], text_col: str = "text", min_llr: f
         ).alias("random"),
     )
     d = d.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    apart = lambda r: ~F.exists("base", lambda b: (b.s < r.e) & (r.s < b.e))
-    return d.withColumn("more", F.filter("random", apart))
+    # of all spans in order: how far base spans reach before each, and where the next base span starts
+    far = F.lit(1 << 40)
+    zero = F.lit(0).cast("long")
+
+    def apart(spans: Column) -> Column:
+        """Random spans that no base span reaches into and before which none starts that they reach."""
+        before = running_maxima(F.transform(spans, lambda x: F.when(x.k < 3, x.e).otherwise(zero)))
+        after = F.reverse(running_maxima(F.reverse(F.transform(spans, lambda x: F.when(x.k < 3, far - x.s).otherwise(zero)))))
+        free = lambda b, a: F.filter(spans, lambda x, i: (x.k == 3) & (F.get(b, i) <= x.s) & (far - F.get(a, i) >= x.e))
+        return let(before, lambda b: let(after, lambda a: free(b, a)))
+
+    # let: an expression inside a function of an array would be computed for every element
+    some = F.size("random") > 0
+    return d.withColumn("more", F.when(some, let(F.sort_array(F.concat("base", "random")), apart)).otherwise(_none()))
 
 
 def _joined(spans: Column) -> Column:
@@ -167,7 +188,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, table: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of every document."""
     if table is None:
-        table = train(samples(docs.sparkSession, docs, text_col))
+        table = train(samples(docs.sparkSession, docs, text_col, id_col))
     found = find(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), table)
     return found.select(
         "doc.doc_id",
@@ -188,23 +209,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", table: list[float] | None =
     if table is None:
         table = train(samples(docs.sparkSession, docs, text_col))
     d = find(docs, table, text_col).withColumn("all", F.sort_array(F.concat("base", "more")))
-    # furthest end before each span: a span that starts at or after it opens a gap to copy
-    d = d.withColumn(
-        "ends",
-        F.aggregate(
-            "all",
-            F.array(F.lit(0).cast("long")),
-            lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x.e))),
-        ),
-    )
-    cut = lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    parts = F.filter(
-        F.transform("all", lambda x, i: F.when((x.s > F.get("ends", i)) | (i == 0), F.concat(cut(F.get("ends", i), x.s), F.lit(mark)))
-                    .when(x.s == F.get("ends", i), F.lit(mark))),
-        lambda p: p.isNotNull(),
-    )
-    last = F.element_at("ends", -1)
-    clean = F.concat(F.concat_ws("", parts), cut(last, F.length("text").cast("long")))
+    whole = F.col("text")
+    cut = lambda a, b: F.substr(whole, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def clean_text(spans: Column, ends: Column) -> Column:
+        """ends: furthest end before each span, 0 first. A span that starts at or after it opens a gap to copy."""
+        parts = F.transform(
+            spans,
+            lambda x, i: F.when((x.s > F.get(ends, i)) | (i == 0), F.concat(cut(F.get(ends, i), x.s), F.lit(mark)))
+            .when(x.s == F.get(ends, i), F.lit(mark)),
+        )
+        return F.concat(F.concat_ws("", F.filter(parts, lambda p: p.isNotNull())), cut(F.element_at(ends, -1), F.length(whole).cast("long")))
+
+    reach = lambda spans: F.concat(F.array(F.lit(0).cast("long")), running_maxima(F.transform(spans, lambda x: x.e)))
+    clean = let(F.col("all"), lambda spans: let(reach(spans), lambda ends: clean_text(spans, ends)))
     d = d.withColumn("clean", F.when(F.size("all") > 0, clean).otherwise(F.col(f"doc.`{text_col}`")))
     out = []
     for c in docs.columns:
