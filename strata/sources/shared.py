@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where that is unset and the session is a local one (tests).
+
+    Executors elsewhere would each write to a disk of their own, so on a cluster without that setting this raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints")
     os.makedirs(own, exist_ok=True)
     return own
