@@ -8,9 +8,9 @@ Scale: sizes are summed by (source, slice of the hash range) before anything is
 where a source's fraction ends lies in one slice of SLICES; only the documents of that slice are ordered in a window, so a
 source with a third of all rows is never gathered in one task. Tables of one row per source go through one task.
 
-Cases: a null source is a source, last in order; null and empty texts have size 0 and are taken like others of their source,
-with 0 words; a source of size 0 has target 0; null ids and repeated rows are judged row by row (equal rows are ordered
-arbitrarily among themselves, so reruns take equally many); an empty table gives an empty result; the input's other columns
+Cases: a null source is a source, last in order; null and empty texts have size 0 and are taken in whole repetitions only; a
+source of size 0 has target 0 and is not taken; null ids and repeated rows are judged row by row (equal rows are ordered
+arbitrarily among themselves, so reruns take equally many); a very long text counts with all its words; an empty table gives an empty result; the input's other columns
 and names starting with ``_mix_`` do not meet, the latter are dropped from the input.
 """
 
@@ -31,13 +31,16 @@ def sized(docs: DataFrame, seed: int = SEED, source_col: str = "source", text_co
     """docs with _mix_source, _mix_size (words), _mix_h (seeded hash) and _mix_slice (its top bits)."""
     docs = docs.select(*[docs[c] for c in docs.columns if not c.startswith("_mix_")])
     text = text_of(docs, text_col)
-    h = F.xxhash64(F.lit(seed), docs[id_col], docs[source_col], F.length(text))
+    none = F.lit("")
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), none), F.lit(":"), F.coalesce(docs[source_col], none))
+    # 60 bits of a hash that other engines have too
+    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
     return docs.select(
         "*",
         docs[source_col].alias("_mix_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("_mix_size"),
         h.alias("_mix_h"),
-    ).withColumn("_mix_slice", F.shiftrightunsigned("_mix_h", 64 - SLICES_LOG2).cast("int"))
+    ).withColumn("_mix_slice", F.shiftright("_mix_h", 60 - SLICES_LOG2).cast("int"))
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -109,7 +112,8 @@ def apply(rows: DataFrame, planned: DataFrame) -> DataFrame:
     within = joined.filter(F.col("_mix_slice") == F.col("_mix_p.cut")).withColumn(
         "_mix_more", (2 * upto - F.col("_mix_size") < 2 * F.col("_mix_p.rest")).cast("int")
     )
-    return apart.unionByName(within).withColumn("_mix_reps", F.col("_mix_p.whole") + F.col("_mix_more"))
+    more = F.when(F.col("_mix_size") > 0, F.col("_mix_more")).otherwise(0)
+    return apart.unionByName(within).withColumn("_mix_reps", F.col("_mix_p.whole") + more)
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:

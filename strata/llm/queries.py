@@ -61,6 +61,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # water-filling in closed form: in the order of cap / weight, the level is what the sources from the first one on share whose
+    # cap is not below it; whole repetitions, then one more in hash order while the middle of a document is below what is wanted
+    "op1_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('20240501:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+         row_number() OVER (ORDER BY source NULLS LAST) AS k
+  FROM d GROUP BY source
+), l AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT arg_min(level, (cap / w, k)) FILTER (level * w <= cap) AS level FROM l
+), t AS (
+  SELECT l.source, source_size, least(cap, coalesce(f.level * w, cap)) AS target FROM l, f
+), p AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+         sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), r AS (
+  SELECT *, whole + CASE WHEN size > 0 AND 2 * upto - size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS reps FROM p
+)
+SELECT doc_id, source, size, source_size, target, CAST(reps AS BIGINT) AS reps, CAST(size * reps AS BIGINT) AS taken FROM r
+""",
     "op10_quality": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents

@@ -7,12 +7,13 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm import components, html, media, mix, packing, pii, quality, secrets, simhash, tokens, toxicity
+from strata.llm import components, html, media, mix, packing, pii, quality, queries, secrets, simhash, tokens, toxicity
 from strata.llm.common import running_sums
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +57,18 @@ def test_running_sums(spark):
         assert got == np.cumsum(x).tolist()
 
 
+def test_mix_of_empty_texts_and_its_sql(spark):
+    rows = [(i, "w " * (i % 5), "abc"[i % 3], "x") for i in range(200)] + [(500 + i, "", "empty", "x") for i in range(5)] + [(None, None, None, "x"), (1, "a b", "a", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mix.mix_table(d).collect()
+    assert all(r.reps <= 2 for r in got) and all(r.reps == 0 for r in got if r.source == "empty")
+    con = duckdb.connect()
+    con.register("documents", d.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(queries.ORACLE_SQL["op1_mix"]).fetchall()
+    named = [(r.doc_id, r.source, r["size"], r.source_size, r.target, r.reps, r.taken) for r in got]
+    assert sorted(map(str, named)) == sorted(map(str, want))
+
+
 def test_mix_targets_and_reruns(docs, rows):
     got = mix.mix_table(docs).collect()
     size, source_of = Counter(), defaultdict(list)
@@ -188,6 +201,33 @@ def test_secrets(spark, docs):
     assert clean[-1].text is None and all(clean[i].text == texts[i] for i in (-2, -3, -7))
 
 
+def test_secrets_models_tell_random_strings_from_identifiers(spark, docs):
+    """The method's own spans: planted random strings of several alphabets, and long identifiers with digits that stay."""
+    r = random.Random(3)
+    alphabets = ("0123456789abcdef-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789")
+    planted = ["".join(r.choice(a) for _ in range(r.randint(24, 60))) for a in alphabets for _ in range(25)]
+    planted = [p + "9x" for p in planted]
+    plain = [
+        "my_identifier_2024_version_final", "src/components/header-2024-01-15/index_v2", "getUserAccountById2Version3", "hello-world-this-is-a-long-slug-12",
+        "the_annual_report_for_2023_final_draft", "docs/reference/chapter-12/section-4/page-117", "release-notes-version-10-of-the-library",
+    ]
+    rows = [(i, f"see {p} here") for i, p in enumerate(planted)] + [(1000 + i, f"see {p} here") for i, p in enumerate(plain)]
+    table = secrets.train(secrets.samples(spark, docs))
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    caught = [got[i].spans == f"random:4:{4 + len(p)}" for i, p in enumerate(planted) if not got[i].n_hex]
+    assert len(caught) > 80 and sum(caught) >= 0.95 * len(caught)
+    assert all(got[1000 + i].spans == "" for i in range(len(plain)))
+
+
+def test_secrets_of_many_spans_take_linear_time(spark):
+    d = spark.createDataFrame([(1, "token=abcdefgh9 f3Kz9QpLm2XvB7tRw8YcN1dJh5 " * 3000)], "doc_id long, text string")
+    table = secrets.train(secrets.samples(spark, d))
+    began = time.time()
+    assert secrets.scan(d, table).first().n_assign == 3000
+    assert secrets.redact(d, table=table).first().text.count("[SECRET]") >= 3000
+    assert time.time() - began < 30
+
+
 def test_html_blocks_and_site_templates(spark):
     raw = "<html><head><title>t</title></head><body><nav>m</nav>a<b>c</b> d<p>x&amp;y &#x41;<div class='comments'>no</div><!-- z --><ul><li>1<li>2</ul><script>if(a<b){'</p>'}</script>z<footer>f"
     assert html.Page(raw).kept()[0] == ["ac d", "x&y A", "1", "2", "z"]
@@ -480,6 +520,44 @@ def test_features_cover_every_sample():
     assert len({d[6] for d in short}) == 6 and all(len(d[8]) == len(d[7]) == 3 for d in short)
 
 
+def simple_fingerprints(payload):
+    """Frames and codes by a transform written out, one frame at a time."""
+    x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128
+    size = min(256, len(x))
+    window = np.concatenate([[0.5 - 0.5 * np.cos(2 * np.pi * (k + 1) / (size + 1)) for k in range(size)], np.zeros(256 - size)])
+    x = np.concatenate([x, np.zeros(256 - size)])
+    frames = [x[a : a + 256] for a in range(0, len(x) - 255, 128)]
+    if (len(x) - 256) % 128:
+        rest = x[128 * len(frames) :]
+        frames.append(np.concatenate([rest - rest.mean(), np.zeros(256 - len(rest))]))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    found = []
+    for f in frames:
+        power = np.abs(turn @ (f * window)).round(2)
+        best = [(power[a:b].max(), a + int(power[a:b].argmax())) for a, b in ((1, 9), (9, 33), (33, 129))]
+        found.append([k for _, k in sorted(best, key=lambda p: -p[0])])
+    out = []
+    for i, f in enumerate(found):
+        out += [(i, f[p] << 20 | found[i + s][0] << 8 | s) for s in (1, 2, 3) if i + s < len(found) for p in (0, 1)]
+    last = found[-1]
+    return sorted(out + [(len(found) - 1, last[p] << 20 | last[q] << 8) for p in range(3) for q in range(p + 1, 3)])
+
+
+def test_fingerprints_equal_a_plain_transform():
+    r = random.Random(8)
+    agree = total = 0
+    for n in (1, 64, 200, 320, 448, 1000, 5000):
+        data = bytes(r.randrange(32, 127) for _ in range(n))
+        payload = media.decode(media.encode(data))
+        got = media.describe(data)
+        want, found = simple_fingerprints(payload), list(zip(got[7].tolist(), got[8].tolist(), strict=True))
+        assert len(found) == len(want)
+        # single and double precision may rank two nearly equal peaks differently
+        agree += len(set(found) & set(want))
+        total += len(set(want))
+    assert agree >= 0.98 * total
+
+
 def test_peaks_find_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(4096) / media.FRAME)).astype(np.uint8)
     assert (media.peaks(tone)[:, 0] == 20).all()
