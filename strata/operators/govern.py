@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import dot, numeric_claims, squeezed, squeezed_hash
+from strata.functions.text import numeric_claims, squeezed
+from strata.operators.lookup import look_up
+from strata.operators.retrieve import unit_rows
 from strata.sources.shared import materialise
 
 #: Fixed patterns of lines that are no text.
@@ -30,33 +34,55 @@ def retrievable(doc_type: Column, content_type: Column, status: Column) -> Colum
 
 
 def exact_duplicates(chunks: DataFrame, order: str = "chunk_id", within: tuple[str, ...] = ()) -> DataFrame:
-    """Adds dup_of (the first chunk with the same text but for white space; null for kept) and dup_reason (exact, empty).
+    """order, within, dup_of (the first chunk with the same text but for white space; null for kept), dup_reason (exact, empty).
 
-    The first id of each hash is a partial minimum, joined back: no group is gathered, however large.
+    Texts end in the scan: ids and hashes are a table. The first id of each hash is a partial minimum; a hash of a third of all
+    rows is looked up without gathering them. Empty texts have no hash.
     """
-    c = chunks.withColumn("_h", squeezed_hash(F.col("text"))).withColumn("_empty", squeezed(F.col("text")) == "")
-    first = c.filter(~F.col("_empty")).groupBy(*within, "_h").agg(F.min(order).alias("_first"))
-    j = c.join(first, [*within, "_h"], "left")
-    dup = F.when(F.col("_first") != F.col(order), F.col("_first"))
-    reason = F.when(F.col("_empty"), "empty").when(dup.isNotNull(), "exact")
-    return j.withColumn("dup_of", dup).withColumn("dup_reason", reason).drop("_h", "_empty", "_first")
+    flat = squeezed(F.col("text"))
+    h = F.when(flat != "", F.sha2(F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.col(w).cast("string"), F.lit("\x1e")) for w in within], flat), 256))
+    c = materialise(chunks.select(*within, order, h.alias("_h")), "hashes")
+    first = materialise(c.filter("_h is not null").groupBy("_h").agg(F.min(order).alias("_first"), F.count("*").alias("n")), "first-of-hash")
+    j = look_up(c, first, "_h").select(*within, order, F.when(F.col("_first") != F.col(order), F.col("_first")).alias("dup_of"))
+    full = j.withColumn("dup_reason", F.when(F.col("dup_of").isNotNull(), "exact"))
+    none = c.filter("_h is null").select(*within, order, F.lit(None).cast(c.schema[order].dataType).alias("dup_of"), F.lit("empty").alias("dup_reason"))
+    return full.unionByName(none)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """Pairs a < b of vectors (chunk_id, vec) with cosine of at least threshold, exact, by pairs of blocks.
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """Pairs a < b of vectors (chunk_id long, vec) with cosine of at least threshold, exact, by pairs of blocks.
 
-    Each vector goes to the pairs of its block with every block; a task compares two blocks, so none holds all vectors.
+    There are as many blocks as hold about block vectors each. Each vector goes to the pairs of its block with every block; a
+    task multiplies two blocks as matrices, so it holds two blocks and one product, and only pairs over the threshold are rows.
     """
-    unit = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    norm = F.transform("vec", lambda x: x.cast("double") / F.when(unit == 0, F.lit(1.0)).otherwise(unit))
-    v = vectors.select("chunk_id", norm.alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("blk"))
+    v = vectors.select(F.col("chunk_id").cast("long"), "vec")
+    blocks = max(1, -(-v.count() // block))
+    v = v.withColumn("blk", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.withColumn("o", other).select(F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "chunk_id", "v")
-    right = left.select("p", "q", F.col("blk").alias("blk2"), F.col("chunk_id").alias("b"), F.col("v").alias("w"))
-    pairs = left.withColumnRenamed("chunk_id", "a").join(right, ["p", "q"])
-    once = F.when(F.col("p") == F.col("q"), F.lit(True)).otherwise(F.col("blk") != F.col("blk2"))
-    pairs = pairs.filter((F.col("a") < F.col("b")) & once)
-    return pairs.select("a", "b", F.round(dot(F.col("v"), F.col("w")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+    dealt = v.withColumn("o", other).select(F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "chunk_id", "vec")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, blk = table.column("chunk_id").to_numpy(), table.column("blk").to_numpy()
+        x, at = unit_rows(table.column("vec").combine_chunks())
+        order = np.lexsort((ids[at], blk[at]))
+        x, ids, blk = x[order], ids[at][order], blk[at][order]
+        first = int(np.searchsorted(blk, table.column("p")[0].as_py(), "right"))
+        # one block with itself, or the first with the second
+        left, right, base = (x, x, 0) if first == len(x) and table.column("p")[0] == table.column("q")[0] else (x[:first], x[first:], first)
+        a, b, cosine = [], [], []
+        for i in range(0, len(left), 1024):
+            score = np.round(left[i : i + 1024] @ right.T, 6)
+            r, c = np.nonzero(score >= threshold)
+            fine = (r + i < c) if base == 0 else np.full(len(r), True)
+            r, c = r[fine], c[fine]
+            one, two = ids[r + i], ids[c + base]
+            a.append(np.minimum(one, two))
+            b.append(np.maximum(one, two))
+            cosine.append(score[r, c])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.array([], kind)
+        return pa.table({"a": join(a, np.int64), "b": join(b, np.int64), "cosine": join(cosine, np.float64)})
+
+    return dealt.groupBy("p", "q").applyInArrow(run, "a long, b long, cosine double").filter("a < b")
 
 
 def greedy_removals(pairs: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -7,12 +7,16 @@ kept per collection. Tokens are counted per chunk before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import bigrams, cosine, estimate_tokens, overlap, unit_list, units
+from strata.functions.text import bigrams, estimate_tokens, overlap, unit_list, units
+from strata.sources.shared import materialise
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Weights of the features, bonuses of content types, priorities of sources.
@@ -26,45 +30,40 @@ STRUCTURE: Mapping[str, float] = {
 PRIORITY: Mapping[str, float] = {"neb": 1.0, "openstax": 0.7, "khanacademy": 0.65}
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(collection, chunk_id, token, tf, len): a chunk's tokens are counted within its own row.
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(collection, chunk_id, token, tf, len), and for each chunk a row of the empty token, whose tf is 1.
 
-    The map of counts is built from the sorted list, so no row per occurrence is made or shuffled.
+    With wanted (token) only its tokens are counted: they are told by a semi join before anything is shuffled, so rows of other
+    tokens end in the scan. A chunk's tokens lie in one task, so counting is done map-side.
     """
-    tokens = chunks.select("collection", "chunk_id", F.sort_array(unit_list(F.col("text"))).alias("t"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    tokens = tokens.filter(F.size("t") > 0).withColumn("s", starts)
-    counted = F.transform(
-        "s",
-        lambda i, k: F.struct(
-            F.get("t", i).alias("token"), (F.coalesce(F.get(F.col("s"), k + 1), F.size("t")) - i).cast("long").alias("tf")
-        ),
-    )
-    return tokens.select("collection", "chunk_id", F.size("t").alias("len"), F.explode(counted).alias("p")).select(
-        "collection", "chunk_id", "p.token", "p.tf", "len"
-    )
+    tokens = chunks.select("collection", "chunk_id", unit_list(F.col("text")).alias("t"))
+    rows = tokens.select("collection", "chunk_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    if wanted is not None:
+        # the planner broadcasts a table below its threshold, else it sorts and merges
+        every = wanted.select("token").distinct().unionByName(wanted.sparkSession.sql("select '' as token"))
+        rows = rows.join(materialise(every, "wanted-tokens"), "token", "left_semi")
+    return rows.groupBy("collection", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(post: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per collection: number of chunks and mean length; per collection and token: document frequency."""
-    sizes = chunks.select("collection", F.size(unit_list(F.col("text"))).alias("len"))
-    totals = sizes.groupBy("collection").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    return totals, post.groupBy("collection", "token").agg(F.count("*").alias("df"))
+def corpus_stats(post: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of postings, per collection: number of chunks and mean length; per collection and token: document frequency."""
+    totals = post.filter("token = ''").groupBy("collection").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return totals, post.filter("token <> ''").groupBy("collection", "token").agg(F.count("*").alias("df"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 20) -> DataFrame:
     """query_id, collection, chunk_id, score, rn: per query and collection the best k by BM25 (all if None).
 
-    Query tokens meet postings by an equality join; only their matches are scored. idf = ln(1 + (N - df + .5)/(df + .5)).
+    Texts are read and cut into tokens once, into a table of the postings of query tokens. These meet the queries by an equality
+    join; only their matches are scored. idf = ln(1 + (N - df + .5)/(df + .5)).
     """
-    wanted = queries.select("query_id", F.explode(units(F.col("text"))).alias("token"))
-    post = postings(chunks)
-    totals, df = corpus_stats(post, chunks)
-    # statistics only of tokens that some query has
-    df = df.join(wanted.select("token").distinct(), "token", "left_semi")
+    wanted = materialise(queries.select("query_id", F.explode(units(F.col("text"))).alias("token")), "query-tokens")
+    post = materialise(postings(chunks, wanted), "postings")
+    totals, df = corpus_stats(post)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = post.join(df, ["collection", "token"]).join(totals, "collection").select("collection", "chunk_id", "token", part.alias("w"))
+    weights = df.join(totals, "collection").select("collection", "token", "n", "df", "avgdl")
+    hits = post.join(materialise(weights, "token-weights"), ["collection", "token"]).select("collection", "chunk_id", "token", part.alias("w"))
     scored = hits.join(wanted, "token").groupBy("query_id", "collection", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scored, k, "query_id", "collection")
 
@@ -76,15 +75,70 @@ def top(scored: DataFrame, k: int | None, *keys: str) -> DataFrame:
     return ranked.filter(F.col("rn") <= k) if k else ranked
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
+def unit_rows(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as a matrix of unit rows, and the places they come from; others, null and zero ones are left out."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    size = int(sizes.max(initial=0))
+    at = np.flatnonzero((sizes == size) & (sizes > 0))
+    if not len(at):
+        return np.zeros((0, 1)), at
+    x = pc.list_flatten(rows.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+    length = np.sqrt((x * x).sum(axis=1))
+    fine = length > 0
+    return x[fine] / length[fine, None], at[fine]
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
     """Exact cosine top k: every vector against the stated query set, k per query.
 
-    queries: query_id, qvec; vectors: chunk_id, collection, vec. The queries are the small side: a batch of bounded size that
-    the caller states; each task reads its vectors once.
+    queries: query_id, qvec; vectors: chunk_id, collection, vec (ids are longs). Queries go to the tasks block at a time, so what
+    is sent is bounded; a task multiplies a batch of its vectors with them and keeps the best k of each query, so k rows for
+    each query and task are merged. More queries than block mean more passes over the vectors. A vector of another length than
+    most of its batch's, of length zero or null has no cosine.
     """
-    pairs = vectors.join(queries, F.lit(True))
-    scored = pairs.select("query_id", "collection", "chunk_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    return top(scored.filter("score is not null"), k, "query_id")
+    spark, out = queries.sparkSession, None
+    q = materialise(queries.select(F.col("query_id").cast("long"), "qvec"), "query-vectors")
+    blocks = max(1, -(-q.count() // block))
+    for b in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
+        sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), *unit_rows(rows.column(1).combine_chunks())))
+        scored = vectors.select(F.col("chunk_id").cast("long"), "collection", "vec").mapInArrow(
+            _nearest(sent, k), "query_id long, chunk_id long, collection string, score double"
+        )
+        out = scored if out is None else out.unionByName(scored)
+    return top(out.select("query_id", "collection", "chunk_id", F.round("score", 6).alias("score")), k, "query_id")
+
+
+def _nearest(sent, k: int):
+    """For mapInArrow over (chunk_id, collection, vec): the best k rows of a task for each query, by rounded score, then id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, at = sent.value
+        held: list[list[tuple[float, int, str | None]]] = [[] for _ in at]
+        for batch in batches:
+            v, places = unit_rows(batch.column(2))
+            if not len(places) or not len(at) or v.shape[1] != asked.shape[1]:
+                continue
+            own, names = batch.column(0).to_numpy(zero_copy_only=False)[places], batch.column(1)
+            for i in range(0, len(v), 8192):
+                score = np.round(asked @ v[i : i + 8192].T, 6)
+                n = score.shape[1]
+                # all that ties with the k-th best stays until ids decide
+                floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -2.0)
+                for j in range(len(at)):
+                    near = np.flatnonzero(score[j] >= max(floor[j], held[j][-1][0] * -1 if len(held[j]) >= k else -2.0))
+                    if len(near):
+                        new = [(-float(score[j, x]), int(own[i + x]), names[int(places[i + x])].as_py()) for x in near]
+                        held[j] = sorted(held[j] + new, key=lambda r: r[:2])[:k]
+        rows = [(int(ids[at[j]]), c, name, -s) for j, best in enumerate(held) for s, c, name in best]
+        if rows:
+            a, b, c, d = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.float64())],
+                names=["query_id", "chunk_id", "collection", "score"],
+            )
+
+    return run
 
 
 def fuse(routes: DataFrame, k: int | None = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import text
 from strata.operators import govern, package
 from strata.plans.registry import query
+from strata.sources.shared import materialise
 from strata.sources.tables import Tables
 
 META = """
@@ -40,7 +41,7 @@ def semantic_pairs(t: Tables) -> DataFrame:
 def semantic_dedup(t: Tables) -> DataFrame:
     """Greedy removals are sequential: no SQL."""
     v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 17).alias("n"))
-    pairs = govern.similar_pairs(v.select("chunk_id", "vec"), 0.35).persist()
+    pairs = materialise(govern.similar_pairs(v.select("chunk_id", "vec"), 0.35), "pairs")
     return govern.greedy_removals(pairs, v.select("chunk_id", "n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import retrieve, route as routing
 from strata.plans.registry import query
+from strata.sources.shared import materialise
 from strata.sources.tables import Tables
 
 W = "[a-z0-9_]+"
@@ -78,13 +79,14 @@ def ranked(t: Tables) -> DataFrame:
     )
     asked = t.questions().select("query_id", F.col("text").alias("query"), (1 + F.col("query_id") % 3).cast("string").alias("wanted_grade"))
     c = retrieve.above_floor(fused(t)).join(chunk, "chunk_id").join(asked, "query_id")
-    return retrieve.rerank(c)
+    # a few candidates for each query, used for evidence and for refusals
+    return materialise(retrieve.rerank(c), "ranked")
 
 
 @query(f"WITH {BM25} SELECT collection, CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, (SELECT CAST(count(*) AS BIGINT) FROM dfs WHERE dfs.collection = tot.collection) AS tokens FROM tot")
 def bm25_stats(t: Tables) -> DataFrame:
     chunks = t.chunks()
-    totals, df = retrieve.corpus_stats(retrieve.postings(chunks), chunks)
+    totals, df = retrieve.corpus_stats(materialise(retrieve.postings(chunks), "postings"))
     return totals.join(df.groupBy("collection").agg(F.count("*").alias("tokens")), "collection").select("collection", "n", F.round("avgdl", 6).alias("avgdl"), "tokens")
 
 
@@ -167,30 +169,30 @@ alone AS (SELECT query_id, chunk_id, 2000 AS tokens, final_score FROM pc WHERE q
 ev AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS seq FROM (SELECT * FROM kept UNION ALL SELECT * FROM alone))"""
 
 
-def evidence(t: Tables) -> DataFrame:
-    return retrieve.pack_evidence(retrieve.best(retrieve.narrow_grades(ranked(t)), 10, 0.25))
+def evidence(rows: DataFrame) -> DataFrame:
+    return retrieve.pack_evidence(retrieve.best(retrieve.narrow_grades(rows), 10, 0.25))
 
 
 @query(f"WITH RECURSIVE {PACKED} SELECT query_id, chunk_id, tokens, CAST(seq AS INTEGER) AS seq FROM ev")
 def pack_evidence(t: Tables) -> DataFrame:
-    return evidence(t).select("query_id", "chunk_id", "tokens", "seq")
+    return evidence(ranked(t)).select("query_id", "chunk_id", "tokens", "seq")
 
 
 LABEL = "CASE WHEN doc_id % 9 = 0 THEN '来源' || seq ELSE source || ' · 第' || (1 + doc_id % 200) || '页' END"
 
 
-def labelled(t: Tables) -> DataFrame:
+def labelled(t: Tables, rows: DataFrame) -> DataFrame:
     none = F.col("doc_id") % 9 == 0
     meta = t.documents.select(
         F.col("doc_id").alias("chunk_id"), F.when(none, "").otherwise(F.col("source")).alias("title"), F.lit("").alias("chapter"),
         F.when(~none, 1 + F.col("doc_id") % 200).alias("page"),
     )
-    return retrieve.cite(evidence(t).join(meta, "chunk_id"))
+    return retrieve.cite(evidence(rows).join(meta, "chunk_id"))
 
 
 @query(f"WITH RECURSIVE {PACKED} SELECT query_id, chunk_id, CAST(seq AS INTEGER) AS seq, {LABEL} AS label FROM ev JOIN documents ON doc_id = chunk_id")
 def citations(t: Tables) -> DataFrame:
-    return labelled(t).select("query_id", "chunk_id", "seq", "label")
+    return labelled(t, ranked(t)).select("query_id", "chunk_id", "seq", "label")
 
 
 @query(f"""WITH RECURSIVE {PACKED}, b AS (SELECT query_id, max(query_coverage) AS c FROM ranked GROUP BY 1)
@@ -198,8 +200,9 @@ SELECT ev.query_id, chunk_id, CAST(seq AS INTEGER) AS seq, final_score, tokens,
 FROM ev JOIN documents ON doc_id = chunk_id JOIN b ON b.query_id = ev.query_id""")
 def hybrid_pipeline(t: Tables) -> DataFrame:
     """Recall by words and vectors, fusion, floor, rerank, grade narrowing, packing, citations, refusal."""
-    out = retrieve.refusals(t.questions(), ranked(t)).select("query_id", "refused")
-    return labelled(t).join(out, "query_id").select("query_id", "chunk_id", "seq", "final_score", "tokens", "label", "refused")
+    rows = ranked(t)
+    out = retrieve.refusals(t.questions(), rows).select("query_id", "refused")
+    return labelled(t, rows).join(out, "query_id").select("query_id", "chunk_id", "seq", "final_score", "tokens", "label", "refused")
 
 
 @query("""WITH c AS (SELECT DISTINCT 'neb_' || source AS collection, CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'science' WHEN 1 THEN 'math' ELSE 'chinese' END AS subject,
