@@ -14,11 +14,12 @@ from strata.sources.tables import Tables
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 a AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
   CAST(length(line) <= 40 AND regexp_matches(line, '^[A-Z]') AS INT) AS h FROM l),
-s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM a)
-SELECT doc_id AS chunk_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h = 1 THEN trim(line) END) AS title, CAST(min(pos) AS BIGINT) AS start,
+s AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section,
+  last_value(CASE WHEN h = 1 AND regexp_matches(line, '^[A-M]') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chapter FROM a)
+SELECT doc_id AS chunk_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h = 1 THEN trim(line) END) AS title, max(chapter) AS chapter, CAST(min(pos) AS BIGINT) AS start,
  CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM s GROUP BY doc_id, section""")
 def sections(t: Tables) -> DataFrame:
-    return chunk.sections(t.chunks(), lambda x: (F.length(x) <= 40) & x.rlike("^[A-Z]"))
+    return chunk.sections(t.chunks(), lambda x: (F.length(x) <= 40) & x.rlike("^[A-Z]"), lambda x: F.when(x.rlike("^[A-M]"), x))
 
 
 TYPED = "SELECT * FROM (VALUES (1, '例题 1 求解'), (2, '课后作业'), (3, '图 3 装置'), (4, '速度的定义'), (5, '牛顿定律'), (6, 'plain'), (7, ''), (8, 'ISBN 123')) AS t(id, x)"
@@ -29,11 +30,13 @@ def content_type(t: Tables) -> DataFrame:
     return t.values(TYPED).select("id", chunk.content_type(F.col("x"), F.lit(True)).alias("content_type"))
 
 
-@query("""WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_linenumber * 100 - l_orderkey % 40 AS start FROM lineitem WHERE l_orderkey < 400),
-o AS (SELECT DISTINCT l_orderkey AS doc, unnest([50, 100, 250, 900]) AS pos FROM lineitem WHERE l_orderkey < 400)
-SELECT doc, CAST(pos AS INTEGER) AS "at", CAST(coalesce((SELECT max(page) FROM m WHERE m.doc = o.doc AND m.start <= o.pos), (SELECT min(page) FROM m WHERE m.doc = o.doc), 0) AS INTEGER) AS page FROM o""")
+@query("""WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_linenumber * 100 - l_orderkey % 40 AS start FROM lineitem ),
+o AS (SELECT DISTINCT l_orderkey AS doc, unnest([50, 100, 250, 900]) AS pos FROM lineitem),
+f AS (SELECT doc, min(page) AS first_ FROM m GROUP BY 1)
+SELECT o.doc, CAST(pos AS INTEGER) AS "at", CAST(coalesce(m.page, f.first_, 0) AS INTEGER) AS page
+FROM o ASOF LEFT JOIN m ON o.doc = m.doc AND o.pos >= m.start LEFT JOIN f ON f.doc = o.doc""")
 def page_asof(t: Tables) -> DataFrame:
-    l = t.lineitem.filter("l_orderkey < 400")
+    l = t.lineitem
     m = l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_linenumber") * 100 - F.col("l_orderkey") % 40).cast("int").alias("start"))
     o = l.select(F.col("l_orderkey").alias("doc")).distinct().select("doc", F.explode(F.array(*[F.lit(x) for x in (50, 100, 250, 900)])).alias("at"))
     return govern.page_of(m, o)
@@ -61,20 +64,34 @@ def simple_chunk(t: Tables) -> DataFrame:
 
 @query()
 def latex(t: Tables) -> DataFrame:
-    made = F.concat(F.lit("\\frac{"), F.col("doc_id").cast("string"), F.lit("}{\\sqrt{2}} \\times x"))
-    return t.documents.select("doc_id", formulas.strip_latex(made).alias("plain"))
+    """Whole texts with a formula before them, as plain text."""
+    made = F.concat(F.lit("\\frac{"), F.col("doc_id").cast("string"), F.lit("}{\\sqrt{2}} \\times x_1^{2} "), "text")
+    return t.documents.select("doc_id", formulas.clean_text(made).alias("plain"))
+
+
+@query("""SELECT doc_id AS chunk_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages, text, CAST(length(text) - length(string_split(text, chr(10))[-1]) AS INTEGER) AS last_start FROM documents""")
+def page_markers(t: Tables) -> DataFrame:
+    """Page markers before every line, taken out again."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[[PAGE:"), (i + 1).cast("string"), F.lit("]]"), x))
+    marked = t.chunks().select("chunk_id", F.array_join(lines, "\n").alias("text"))
+    return chunk.page_markers(marked).select("chunk_id", F.size("markers").alias("n_pages"), F.col("clean").alias("text"), F.element_at("markers", -1)["start"].alias("last_start"))
+
+
+@query("""SELECT doc_id AS chunk_id, source AS title, trim(text, chr(32)) AS body FROM documents""")
+def front_matter(t: Tables) -> DataFrame:
+    fenced = t.chunks().select("chunk_id", F.concat(F.lit("---\ntitle: 'old'\ntitle: \""), "collection", F.lit("\"\n---"), "text").alias("text"))
+    return chunk.front_matter(fenced).select("chunk_id", F.col("meta")["title"].alias("title"), "body")
 
 
 @query()
 def fuzzy(t: Tables) -> DataFrame:
     phrases = ("with reference to the figure above", "according to the passage", "explain in brief")
-    q = F.concat(F.lit("acording to the passage "), F.substring("text", 1, 40))
-    return t.documents.select("doc_id", formulas.fuzzy_removed(phrases)(q).alias("clean"))
+    q = F.concat(F.lit("acording to the passage "), "text")
+    return t.benchmark.select("item_id", formulas.fuzzy_removed(phrases)(q).alias("clean"))
 
 
 @query()
 def grade_answer(t: Tables) -> DataFrame:
-    """Right if equal but for case and ends, or of a similarity above 0.8."""
-    a, b = F.substring("text", 1, 30), F.substring("text", 2, 30)
-    r = formulas.ratio(F.lower(F.trim(a)), F.lower(F.trim(b)))
-    return t.documents.select("doc_id", ((F.lower(F.trim(a)) == F.lower(F.trim(b))) | (r > 0.8)).alias("right"))
+    """Assistant turns against the user turn before: right if equal but for case and ends, or of a similarity above 0.8."""
+    a, b = F.lower(F.trim("q")), F.lower(F.trim("a"))
+    return t.turns().select("conv_id", "turn", ((a == b) | (formulas.ratio(a, b) > 0.8)).alias("right"))
