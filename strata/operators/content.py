@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.latex import ratio
+from strata.functions.outline import content_concepts
 from strata.functions.rules import NOISE_WORDS, contains_any, noise_likely, words
+from strata.sources.shared import materialise
 
 
 def latest(rows: DataFrame, *keys: str, order: str = "load_seq") -> DataFrame:
@@ -15,17 +18,69 @@ def latest(rows: DataFrame, *keys: str, order: str = "load_seq") -> DataFrame:
     return g.select(*keys, "r.*").select(rows.columns)
 
 
-def paths(nodes: DataFrame, most: int = 6) -> DataFrame:
-    """id, parent, depth and path (names from the root) of nodes (id, parent, name), by joining one level after another."""
-    level = nodes.filter("parent is null").select("id", "parent", F.lit(0).alias("depth"), F.array("name").alias("path"))
+def paths(nodes: DataFrame) -> DataFrame:
+    """id, parent, depth and path (names from the root) of nodes (id, parent, name), however deep.
+
+    One level after another is joined and written, until one is empty; a node below itself or below no root has no path.
+    """
+    level = materialise(nodes.filter("parent is null").select("id", "parent", F.lit(0).alias("depth"), F.array("name").alias("path")), "level")
     out = level
-    for depth in range(1, most + 1):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("id", "parent", F.lit(depth).alias("depth"), F.concat("above", F.array("name")).alias("path"))
+    while not level.isEmpty():
+        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"), (F.col("depth") + 1).alias("depth"))
+        level = nodes.join(up, "parent").select("id", "parent", "depth", F.concat("above", F.array("name")).alias("path"))
+        level = materialise(level, "level")
         out = out.unionByName(level)
     return out
 
 
+def outline(contents: DataFrame) -> DataFrame:
+    """One row for each concept of contents (subject, content as JSON): subject, ord, topic, path, name, summary, steps, questions."""
+    return contents.select("subject", F.explode(content_concepts(F.col("content"))).alias("c")).select("subject", "c.*")
+
+
+def find_concept(rows: DataFrame, subject: str, topic: str, name: str) -> DataFrame:
+    """The first concept of that name in a topic of an outline; no row if there is none."""
+    found = rows.filter((F.col("subject") == subject) & (F.col("topic") == topic) & (F.col("name") == name))
+    return found.orderBy("ord").limit(1)
+
+
+def find_question(rows: DataFrame, subject: str, topic: str, name: str, index: int) -> DataFrame:
+    """question, answers, hints of the concept's question number index, from 0; no row beyond the last or below 0."""
+    q = find_concept(rows, subject, topic, name).select(F.when(F.lit(index >= 0), F.get("questions", F.lit(max(index, 0)))).alias("q"))
+    return q.filter("q is not null").select("q.*")
+
+
+def concepts_at(rows: DataFrame, subject: str, topic: str, path: tuple[str, ...] = ()) -> DataFrame:
+    """Concepts of a topic at a path of subtopics or below it."""
+    here = rows.filter((F.col("subject") == subject) & (F.col("topic") == topic))
+    return here.filter(F.slice("path", 1, len(path)) == F.array(*map(F.lit, path))) if path else here
+
+
+def default_context(rows: DataFrame, fallback: str) -> DataFrame:
+    """One row, text: the summary of the first concept beside a topic whose name has ``introduction`` in it, else the fallback."""
+    found = rows.filter(F.lower("name").contains("introduction") & (F.size("path") == 0))
+    return found.agg(F.coalesce(F.min_by("summary", F.struct("subject", "ord")), F.lit(fallback)).alias("text"))
+
+
+def search(rows: DataFrame, asked: DataFrame, most: int = 3, similar: float = 0.6) -> DataFrame:
+    """query_id, pos and the concept: the first most concepts of an outline, by subject and order, that match each question.
+
+    A concept matches if a field of it (name, summary, a step, a question, an answer) has every word of the question or is similar
+    to it. asked (query_id, text) is a stated set of questions and goes to the concepts whole.
+    """
+    fields = F.concat(
+        F.array("name", "summary"), "steps", F.flatten(F.transform("questions", lambda q: F.concat(F.array(q.question), q.answers)))
+    )
+    own = rows.select("subject", "ord", "topic", "name", "summary", F.transform(F.filter(fields, lambda f: f.isNotNull()), lambda f: F.lower(f)).alias("fields"))
+    q = asked.select("query_id", F.lower("text").alias("q")).withColumn("words", F.filter(F.split("q", "\\s+"), lambda w: w != ""))
+    j = own.join(F.broadcast(q) if asked.count() <= 10_000 else q)
+    each = j.select("query_id", "subject", "ord", "topic", "name", "summary", "q", "words", F.explode("fields").alias("f"))
+    hit = F.forall("words", lambda w: F.col("f").contains(w)) | (ratio(F.col("q"), F.col("f")) > similar)
+    found = each.filter(hit).groupBy("query_id", "subject", "ord", "topic", "name").agg(F.first("summary").alias("summary"))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("subject", "ord"))
+    return found.withColumn("pos", pos).filter(F.col("pos") <= most)
+
+
 def browseable(tree: DataFrame, concepts: DataFrame) -> DataFrame:
     """id, label (A > B > C) and number of concepts at or below each node that has some. concepts: node."""
     each = concepts.join(tree.select(F.col("id").alias("node"), F.col("path").alias("full")), "node")

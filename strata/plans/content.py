@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions import outline
 from strata.operators import content
 from strata.plans.registry import query
 from strata.sources.tables import Tables
@@ -29,7 +30,7 @@ tree AS (SELECT id, parent, 0 AS depth, [name] AS path FROM nodes WHERE parent I
 
 @query(f"WITH RECURSIVE {TREE} SELECT id, parent, CAST(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path FROM tree")
 def content_flatten(t: Tables) -> DataFrame:
-    return content.paths(_nodes(t), 3).select("id", "parent", "depth", F.array_join("path", "/").alias("path"))
+    return content.paths(_nodes(t)).select("id", "parent", "depth", F.array_join("path", "/").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {TREE}, c AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 3 = 0)
@@ -37,7 +38,7 @@ SELECT t.id, array_to_string(t.path, ' > ') AS label, CAST(count(*) AS BIGINT) A
  ON x.full_[1:len(t.path)] = t.path GROUP BY t.id, t.path""")
 def browse_topics(t: Tables) -> DataFrame:
     concepts = t.supplier.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return content.browseable(content.paths(_nodes(t), 3), concepts)
+    return content.browseable(content.paths(_nodes(t)), concepts)
 
 
 @query("""SELECT o_custkey, o_orderpriority, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2""")
@@ -54,28 +55,70 @@ def content_validate(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", rule.alias("rule")).filter("rule is not null")
 
 
-@query()
-def content_lines(t: Tables) -> DataFrame:
-    """key: value lines of JSON content, in the order of the keys asked for."""
-    made = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("summary"), F.array("p_brand", "p_brand").alias("steps")))
-    d = t.part.select("p_partkey", F.from_json(made, "name string, summary string, steps array<string>").alias("j"))
-    lines = F.concat(
-        F.array(F.concat(F.lit("name: "), "j.name"), F.concat(F.lit("summary: "), "j.summary")), F.transform("j.steps", lambda s: F.concat(F.lit("steps: "), s))
+def _contents(t: Tables) -> DataFrame:
+    """Suppliers as concepts of nations (subtopics) of regions (topics), one JSON document for each region, with unknown keys."""
+    c = F.struct(
+        F.col("s_name").alias("name"), F.concat(F.lit("supplier of "), "n_name").alias("summary"), F.array(F.concat(F.lit("step "), F.col("s_suppkey").cast("string"))).alias("steps"),
+        F.array(F.struct(F.concat(F.lit("who is "), "s_name").alias("question"), F.array("s_name").alias("acceptable_answers"), F.array(F.lit("a hint")).alias("hints"))).alias("questions"),
+        F.col("s_suppkey").alias("code"),
     )
-    return d.select("p_partkey", F.posexplode(lines).alias("i", "line"))
+    s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.array_sort(F.collect_list(c)).alias("concepts"))
+    n = s.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("name"), "concepts"))).alias("subtopics"))
+    r = t.region.join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    topic = F.struct(F.col("r_name").alias("name"), "subtopics", F.lit("x").alias("note"))
+    made = F.to_json(F.struct(F.lower("r_name").alias("subject"), (F.col("r_regionkey") + 6).alias("grade"), F.array(topic).alias("topics")))
+    return r.select(F.lower("r_name").alias("subject"), made.alias("content"))
+
+
+OUTLINE = """SELECT lower(r_name) AS subject, r_name AS topic, n_name AS sub, s_name AS name, 'supplier of ' || n_name AS summary, s_suppkey,
+ CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name, s_name) - 1 AS INTEGER) AS ord
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+@query(f"SELECT subject, ord, topic, sub AS path, name, summary, 'step ' || s_suppkey AS steps, 'who is ' || name AS question FROM ({OUTLINE})")
+def content_outline(t: Tables) -> DataFrame:
+    """Concepts of nested JSON, in document order."""
+    o = content.outline(_contents(t))
+    return o.select("subject", "ord", "topic", F.array_join("path", "/").alias("path"), "name", "summary", F.array_join("steps", "/").alias("steps"), F.get("questions", F.lit(0))["question"].alias("question"))
+
+
+@query(f"""SELECT subject, CAST(count(*) + 1 AS INTEGER) AS n_dropped, 0 AS n_errors, min('topics[0].subtopics[0].concepts[0].code') AS first_code FROM ({OUTLINE}) GROUP BY subject""")
+def content_strip(t: Tables) -> DataFrame:
+    """Unknown keys are stripped and told, the rest is checked."""
+    c = _contents(t).select("subject", outline.checked_content(F.col("content")).alias("c"))
+    first = F.get(F.filter("c.dropped", lambda x: x.endswith("code")), F.lit(0))
+    return c.select("subject", F.size("c.dropped").alias("n_dropped"), F.size("c.errors").alias("n_errors"), first.alias("first_code"))
+
+
+@query(f"""WITH o AS ({OUTLINE}), t AS (SELECT subject, topic, min(r_regionkey) + 6 AS grade FROM o JOIN region ON lower(r_name) = subject GROUP BY 1, 2)
+SELECT t.subject, CAST(2 + 1 + (SELECT count(DISTINCT sub) + 6 * count(*) FROM o WHERE o.subject = t.subject) AS INTEGER) AS n_lines,
+ 'subject: ' || t.subject || chr(10) || 'grade: ' || grade || chr(10) || 'name: ' || topic AS head FROM t""")
+def content_lines(t: Tables) -> DataFrame:
+    """key: value lines of nested JSON: of a concept its name and summary, of a question itself, its answer and hint; six a concept."""
+    c = _contents(t).select("subject", F.split(outline.content_lines(F.col("content")), "\n").alias("l"))
+    return c.select("subject", (F.size("l") + F.size(F.filter("l", lambda x: x.startswith("question: ")))).alias("n_lines"), F.array_join(F.slice("l", 1, 3), "\n").alias("head"))
+
+
+ASKED = "SELECT * FROM (VALUES (1, 'supplier japan'), (2, 'step 7'), (3, 'nothing like that at all'), (4, 'who is supplier#000000003')) AS t(query_id, text)"
 
 
 @query()
 def content_search(t: Tables) -> DataFrame:
-    """The first three concepts in order with every word of the question in one field, or a name like it."""
-    from strata.functions.latex import ratio
+    """The first three concepts of each question with every word of it in one field, or a field like it; similarity has no SQL."""
+    return content.search(content.outline(_contents(t)), t.values(ASKED)).select("query_id", "pos", "subject", "name")
 
-    p = t.part.select("p_partkey", "p_name", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("f"))
-    hit = F.col("f").contains("part") & F.col("f").contains("7") | (ratio(F.lower("p_name"), F.lit("part 77")) > 0.6)
-    return p.filter(hit).orderBy("p_partkey").limit(3).select("p_partkey", "p_name")
 
+@query(f"SELECT subject, topic, sub, CAST(count(*) AS BIGINT) AS n, min(name) AS first FROM ({OUTLINE}) GROUP BY ALL HAVING sub IN ('FRANCE', 'JAPAN', 'CHINA')")
+def content_at_path(t: Tables) -> DataFrame:
+    """Concepts below three paths."""
+    o, out = content.outline(_contents(t)), None
+    for topic, nation in (("EUROPE", "FRANCE"), ("ASIA", "JAPAN"), ("ASIA", "CHINA")):
+        here = content.concepts_at(o, topic.lower(), topic, (nation,))
+        out = here if out is None else out.unionByName(here)
+    return out.groupBy("subject", "topic", F.get("path", F.lit(0)).alias("sub")).agg(F.count("*").alias("n"), F.min("name").alias("first"))
 
-@query()
+
+@query("""SELECT p_partkey, trim(p_name) AS name, array_to_string(list_filter([trim(p_brand), trim(p_type)], lambda x: x <> ''), '|') AS steps FROM part WHERE trim(p_name) <> ''""")
 def concepts_norm(t: Tables) -> DataFrame:
     """Concepts with a name only, steps without blanks, trimmed."""
     steps = F.filter(F.transform(F.array("p_brand", F.lit(" "), "p_type"), lambda s: F.trim(s)), lambda s: s != "")

@@ -33,9 +33,10 @@ def units(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(text.units(F.col("text"))).alias("n_units"), text.unit_length(F.col("text")).alias("n_length"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fff}]|[a-z0-9_]+')[1:20], ' ') AS tokens FROM documents")
+@query("SELECT doc_id, CAST(len(u) AS INTEGER) AS n, md5(array_to_string(u, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fff}]|[a-z0-9_]+') AS u FROM documents)")
 def tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.slice(text.unit_list(F.col("text")), 1, 20), " ").alias("tokens"))
+    u = text.unit_list(F.col("text"))
+    return t.documents.select("doc_id", F.size(u).alias("n"), F.md5(F.array_join(u, " ")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, {TOK.format('text')} AS est FROM documents")
@@ -222,22 +223,26 @@ def sources_fmt(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.lit("来源："), "source", more).alias("sources"))
 
 
-@query("""SELECT source, CASE WHEN median >= 80 THEN 'text' ELSE 'scan' END AS kind, CAST(median AS BIGINT) AS median FROM (
- SELECT source, list_sort(list(n))[len(list(n)) // 2 + 1] AS median FROM (
-  SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 6 GROUP BY source)""")
+@query("""WITH p AS (SELECT source, length(trim(text)) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS pages FROM documents),
+s AS (SELECT source, list_sort(list(n)) AS l FROM p WHERE r % greatest(1, pages // least(6, pages)) = 0 AND r // greatest(1, pages // least(6, pages)) < least(6, pages) GROUP BY source)
+SELECT source, CASE WHEN l[len(l) // 2 + 1] >= 80 THEN 'text' ELSE 'scanned' END AS kind, CAST(l[len(l) // 2 + 1] AS BIGINT) AS median FROM s""")
 def pdf_kind(t: Tables) -> DataFrame:
-    """A file is text if the median of up to six sampled pages has 80 characters."""
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = t.documents.select("source", F.length("text").alias("n"), r.alias("r")).filter("r <= 6")
-    s = d.groupBy("source").agg(F.sort_array(F.collect_list("n")).alias("l"))
+    """A file is text if the median of up to six evenly spaced pages has 80 characters. Documents stand in for pages."""
+    w = Window.partitionBy("source")
+    d = t.documents.select(
+        "source", F.length(F.btrim("text", F.lit(" "))).alias("n"), (F.row_number().over(w.orderBy("doc_id")) - 1).alias("r"), F.count("*").over(w).alias("pages")
+    )
+    few = F.least(F.lit(6), F.col("pages"))
+    step = F.greatest(F.lit(1), F.floor(F.col("pages") / few))
+    s = d.filter((F.col("r") % step == 0) & (F.floor(F.col("r") / step) < few)).groupBy("source").agg(F.sort_array(F.collect_list("n")).alias("l"))
     m = F.get("l", F.floor(F.size("l") / 2).cast("int"))
-    return s.select("source", F.when(m >= 80, "text").otherwise("scan").alias("kind"), m.cast("long").alias("median"))
+    return s.select("source", F.when(m >= 80, "text").otherwise("scanned").alias("kind"), m.cast("long").alias("median"))
 
 
-@query("""SELECT doc_id, md5(lower(lang) || '|' || CAST(1 + doc_id % 3 AS VARCHAR) || '|' || lower(trim(substr(text, 1, 40)))) AS key FROM documents""")
+@query("""SELECT doc_id, md5(lower(lang) || '|' || CAST(1 + doc_id % 3 AS VARCHAR) || '|' || lower(trim(text))) AS key FROM documents""")
 def cache_key(t: Tables) -> DataFrame:
     grade = (1 + F.col("doc_id") % 3).cast("string")
-    q = F.lower(F.btrim(F.substring("text", 1, 40), F.lit(" ")))
+    q = F.lower(F.btrim("text", F.lit(" ")))
     return t.documents.select("doc_id", F.md5(F.concat_ws("|", F.lower("lang"), grade, q)).alias("key"))
 
 
