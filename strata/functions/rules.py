@@ -257,3 +257,30 @@ def noise_likely(phrase: Column) -> Column:
 
 def history_tokens(question: Column, answer: Column) -> Column:
     return estimate_tokens(F.concat(F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))))
+
+
+def confidence(answer: Column, question: Column) -> Column:
+    """0.3 under five units, else a half and half the share of the question's units in the answer, at most 1."""
+    asked, told = units(question), units(answer)
+    share = F.size(F.array_intersect(asked, told)) / F.greatest(F.lit(1), F.size(asked))
+    return F.when(F.size(told) < 5, F.lit(0.3)).otherwise(F.least(F.lit(1.0), 0.5 + share * 0.5))
+
+
+#: Marks after which an answer is cut.
+OFF_MARKS = ("Exercise:", "Practice:", "Try this:", "Use Case:", "Real-world", "练习：", "习题：", "试试：", "用例：", "现实世界")
+
+
+def cleaned_answer(answer: Column) -> Column:
+    """An answer without Q: and A: at line starts and without what follows a mark, in single spaces, with a full stop at its end."""
+    out = F.regexp_replace(F.trim(F.coalesce(answer, F.lit(""))), "(?i)^(Q:|A:)\\s*", "")
+    out = F.regexp_replace(out, "(?i)\\n(Q:|A:)\\s*", "\n")
+    for mark in OFF_MARKS:
+        out = F.trim(F.substring_index(out, mark, 1))
+    out = F.trim(F.regexp_replace(out, "\\s+", " "))
+    return F.when((out != "") & ~out.rlike("[.!?]$"), F.concat(out, F.lit("."))).otherwise(out)
+
+
+def safe_file(path: Column, size: Column, most: int = 10 << 20) -> Column:
+    """Whether a path stays below its root (not absolute, no step up) and its size is within the limit."""
+    steps = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return F.coalesce((path != "") & ~path.rlike("^(/|[A-Za-z]:)") & ~F.array_contains(steps, "..") & size.between(0, most), F.lit(False))

@@ -111,6 +111,29 @@ def greedy_removals(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.select("loser", winner.alias("winner"), "cosine")
 
 
+def dedupe(chunks: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of chunks (chunk_id, text, doc_type, vec): dropped has dup_reason (empty, exact, semantic) and dup_of.
+
+    Exact duplicates go first, then of similar ones of a doc_type the shorter. A chunk without a vector has no similar one, so it
+    stays. Kept and dropped together are all chunks.
+    """
+    exact = materialise(exact_duplicates(chunks.select("chunk_id", "text", "doc_type"), within=("doc_type",)).select("chunk_id", "dup_of", "dup_reason"), "exact")
+    left = chunks.join(exact.filter("dup_reason is null").select("chunk_id"), "chunk_id", "left_semi")
+    left = materialise(left.select("chunk_id", "doc_type", "vec", F.length("text").alias("n")), "left")
+    pairs = similar_pairs(left.filter("vec is not null").select("chunk_id", "vec"), threshold)
+    kinds = left.select("chunk_id", "doc_type")
+    same = pairs.join(kinds.select(F.col("chunk_id").alias("a"), F.col("doc_type").alias("ka")), "a").join(
+        kinds.select(F.col("chunk_id").alias("b"), F.col("doc_type").alias("kb")), "b"
+    )
+    same = materialise(same.filter(F.col("ka").eqNullSafe(F.col("kb"))).select("a", "b", "cosine"), "similar")
+    lost = greedy_removals(same, left.select("chunk_id", "n"))
+    gone = exact.filter("dup_reason is not null").unionByName(
+        lost.select(F.col("loser").alias("chunk_id"), F.col("winner").alias("dup_of"), F.lit("semantic").alias("dup_reason"))
+    )
+    gone = materialise(gone, "dropped")
+    return chunks.join(gone, "chunk_id", "left_anti"), chunks.join(gone, "chunk_id")
+
+
 def conflicts(chunks: DataFrame) -> DataFrame:
     """Concepts for which chunks of one concept_key state different numbers: concept_key, field, n_values, chunk_ids."""
     claims = chunks.filter(F.coalesce("concept_key", F.lit("")) != "").select(

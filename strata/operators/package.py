@@ -16,10 +16,27 @@ def chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def capped(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of each package in order until the running size would exceed the cap; packing stops there."""
+def compressed(docs: DataFrame) -> DataFrame:
+    """chunks, with the size of each document's zlib stream as compressed_size."""
+    return docs.select(
+        F.col("source").alias("package_id"), F.col("doc_id").alias("idx"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("hash"),
+        F.length(deflate(F.col("text").cast("binary"))).alias("compressed_size"),
+    )
+
+
+def capped(rows: DataFrame, most: int, size: str = "size") -> DataFrame:
+    """Rows of each package in order until the running size would exceed the cap; packing stops there.
+
+    size names what is summed: size, or compressed_size for a cap on what is sent.
+    """
     w = Window.partitionBy("package_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("upto", F.sum("size").over(w).cast("long")).filter(F.col("upto") <= most)
+    return rows.withColumn("upto", F.sum(size).over(w).cast("long")).filter(F.col("upto") <= most)
+
+
+def report(states: DataFrame) -> DataFrame:
+    """Of validated rows (package_id, state): rows, those fine, and the share of these, per package and over all (null)."""
+    g = states.rollup("package_id").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "ok").alias("ok"))
+    return g.withColumn("success", F.round(F.col("ok") / F.col("n"), 6))
 
 
 def catalog(rows: DataFrame) -> DataFrame:

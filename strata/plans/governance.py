@@ -47,11 +47,22 @@ def semantic_dedup(t: Tables) -> DataFrame:
 
 @query(f"""SELECT concept_key, field, CAST(count(DISTINCT value) AS BIGINT) AS n_values, CAST(count(DISTINCT chunk_id) AS BIGINT) AS n_chunks,
  array_to_string(list_sort(list(DISTINCT value)), ',') AS vals FROM ({CLAIMS}) GROUP BY 1, 2 HAVING count(DISTINCT value) > 1 AND count(DISTINCT chunk_id) > 1""")
-def conflicts(t: Tables) -> DataFrame:
+def conflict_rules(t: Tables) -> DataFrame:
     c = govern.conflicting(t.values(CLAIMS))
     return c.select("concept_key", "field", "n_values", "n_chunks", F.array_join("values", ",").alias("vals"))
 
 
+@query("""WITH d AS (SELECT doc_id, source AS concept_key, '高度为' || length(text) || '.5米，质量约 ' || (doc_id % 3) || ' 千克' AS text FROM documents),
+c AS (SELECT concept_key, doc_id, '高度' AS field, length(d.text) AS x, regexp_extract(text, '高度为([0-9.]+)', 1) AS value FROM d UNION ALL SELECT concept_key, doc_id, '质量', 0, regexp_extract(text, '质量约 ([0-9]+)', 1) FROM d)
+SELECT concept_key, field, CAST(count(DISTINCT value) AS BIGINT) AS n_values, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_chunks FROM c GROUP BY 1, 2 HAVING count(DISTINCT value) > 1 AND count(DISTINCT doc_id) > 1""")
+def conflicts(t: Tables) -> DataFrame:
+    """Claims found in texts that state the length and number of each document, by source."""
+    i = F.col("doc_id")
+    made = F.concat(F.lit("高度为"), F.length("text").cast("string"), F.lit(".5米，质量约 "), (i % 3).cast("string"), F.lit(" 千克"))
+    c = govern.conflicts(t.documents.select(i.alias("chunk_id"), F.col("source").alias("concept_key"), made.alias("text")))
+    return c.select("concept_key", "field", "n_values", "n_chunks")
+
+
 @query("SELECT 1 AS id, '高度' AS concept, '10.5' AS value UNION ALL SELECT 2, '引力常量', '6.67e-11' UNION ALL SELECT 3, '光速约', '3e-8'")
 def num_claims(t: Tables) -> DataFrame:
     rows = t.values("SELECT * FROM (VALUES (1, '高度为10.5米'), (2, '引力常量是6.67×10⁻11'), (3, '光速约为3e8')) AS t(id, x)")
@@ -106,12 +117,38 @@ def index_health(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, v FROM (SELECT doc_id, 1 AS v, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 7 = 0 AND doc_id < 50)
- UNION ALL SELECT doc_id, 2 AS v, source FROM documents WHERE doc_id % 7 = 0 AND doc_id < 50)""")
+@query("""SELECT doc_id, v FROM (SELECT doc_id, 1 AS v, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 211 = 0)
+ UNION ALL SELECT doc_id, 2 AS v, source FROM documents WHERE doc_id % 7 = 0)""")
 def upsert_replace(t: Tables) -> DataFrame:
+    """Sources that an update names lose their old rows; the update is another set of rows."""
     d = t.documents.select("doc_id", "source")
-    old, new = d.withColumn("v", F.lit(1)), d.filter("doc_id % 7 = 0 and doc_id < 50").withColumn("v", F.lit(2))
-    return govern.replace_rows(old, new, "source").select("doc_id", "v")
+    named = d.filter("doc_id % 211 = 0").select("source")
+    old = govern.replace_rows(d.withColumn("v", F.lit(1)), named.select(F.lit(None).cast("long").alias("doc_id"), "source", F.lit(0).alias("v")), "source")
+    return old.filter("v = 1").unionByName(d.filter("doc_id % 7 = 0").withColumn("v", F.lit(2))).select("doc_id", "v")
+
+
+@query()
+def dedupe(t: Tables) -> DataFrame:
+    """Exact and semantic duplicates within a kind, each with its reason; greedy removal has no SQL."""
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    d = t.documents.select("doc_id", "text", F.col("lang").alias("doc_type")).join(v, "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
+    kept, dropped = govern.dedupe(d, 0.35)
+    return dropped.select("chunk_id", "dup_reason", "dup_of").unionByName(kept.select("chunk_id", F.lit("kept").alias("dup_reason"), F.lit(None).cast("long").alias("dup_of")))
+
+
+@query()
+def pack_compressed(t: Tables) -> DataFrame:
+    """The cap counts compressed bytes; zlib has no SQL."""
+    return package.capped(package.compressed(t.documents), 60000, "compressed_size").select("package_id", "idx", "compressed_size", "upto")
+
+
+@query("""WITH r AS (SELECT source, doc_id % 5 <> 0 AND doc_id % 11 <> 0 AS fine FROM documents)
+SELECT source AS package_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (fine) AS BIGINT) AS ok, round(count(*) FILTER (fine) / count(*), 6) AS success FROM r GROUP BY ROLLUP (source)""")
+def sync_report(t: Tables) -> DataFrame:
+    p = package.chunks(t.documents)
+    have = p.filter("idx % 5 <> 0").select("idx", F.when(F.col("idx") % 11 == 0, "bad").otherwise(F.col("hash")).alias("got"))
+    states = package.validate(p, have).join(p.select("idx", "package_id"), "idx")
+    return package.report(states)
 
 
 PKG = "SELECT source AS package_id, doc_id AS idx, octet_length(encode(text)) AS size, sha256(text) AS hash FROM documents"

@@ -283,3 +283,27 @@ def coll_name(t: Tables) -> DataFrame:
     subject = F.when(F.col("n_regionkey") == 0, "math").when(F.col("n_regionkey") == 1, "science").otherwise("chinese")
     grade = F.when(F.col("n_nationkey") % 4 == 0, "unknown").otherwise((F.col("n_nationkey") % 4).cast("string"))
     return t.nation.select("n_nationkey", rules.collection_name(subject, grade, F.col("n_name")).alias("name"))
+
+
+@query("""WITH t AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS a FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(q), '[a-z0-9_]+')) AS q, list_distinct(regexp_extract_all(lower(a), '[a-z0-9_]+')) AS a FROM t)
+SELECT conv_id, turn, CASE WHEN len(a) < 5 THEN 0.3 ELSE round(least(1.0, 0.5 + 0.5 * len(list_intersect(q, a)) / greatest(1, len(q))), 6) END::DOUBLE AS confidence FROM s""")
+def confidence(t: Tables) -> DataFrame:
+    return t.turns().select("conv_id", "turn", F.round(rules.confidence(F.col("a"), F.col("q")), 6).alias("confidence"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(trim('a: ' || text || ' Practice: more'), '^(Q:|A:)\\s*', '', 'i')) AS x FROM conversations),
+m AS (SELECT conv_id, turn, trim(regexp_replace(split_part(regexp_replace(x, '\\n(Q:|A:)\\s*', chr(10), 'gi'), 'Practice:', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x FROM c)
+SELECT conv_id, turn, CASE WHEN x <> '' AND NOT regexp_matches(x, '[.!?]$') THEN x || '.' ELSE x END AS answer FROM m""")
+def answer_clean(t: Tables) -> DataFrame:
+    made = F.concat(F.lit("a: "), "text", F.lit(" Practice: more"))
+    return t.conversations.select("conv_id", "turn", rules.cleaned_answer(made).alias("answer"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(x, 'dna') THEN 'dna' WHEN contains(x, 'gene') THEN 'dna' WHEN contains(x, 'triangle') THEN 'triangle_right' WHEN contains(x, 'graph') THEN 'coordinate_plane' END AS diagram
+FROM (SELECT p_partkey, lower(p_name || CASE p_partkey % 5 WHEN 0 THEN ' Triangle of a graph' WHEN 1 THEN ' DNA' WHEN 2 THEN ' a graph' WHEN 3 THEN ' generic' ELSE '' END) AS x FROM part)""")
+def diagram_key(t: Tables) -> DataFrame:
+    from strata.operators import route
+
+    tails = F.get(F.array(*[F.lit(x) for x in (" Triangle of a graph", " DNA", " a graph", " generic", "")]), (F.col("p_partkey") % 5).cast("int"))
+    return t.part.select("p_partkey", route.diagram_key(F.concat("p_name", tails)).alias("diagram"))

@@ -45,3 +45,23 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
 def versioned(df: DataFrame, path: str, version: str) -> None:
     """Write below version=...; earlier versions stay as they are."""
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def chunk_files(df: DataFrame, path: str, *keys: str) -> None:
+    """Chunks (text and other columns) as text files below key=value folders: comment lines of their metadata, then the text."""
+    meta = [F.concat(F.lit(f"# {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns if c != "text" and c not in keys]
+    df.select(*keys, F.concat_ws("\n", *meta, F.lit(""), "text", F.lit("")).alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def report_lines(df: DataFrame, path: str, title: str) -> None:
+    """A table as a Markdown report: a small one, written by one task."""
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    first = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "i int, value string")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+    rows = first.unionByName(df.select(F.lit(len(head)).alias("i"), cells.alias("value")))
+    rows.coalesce(1).sortWithinPartitions("i", "value").select("value").write.mode("overwrite").text(path)
+
+
+def save_progress(df: DataFrame, path: str) -> None:
+    """Counters of some users in place of those users' older ones; others' stay."""
+    replace_partitions(df, path, "user_id")

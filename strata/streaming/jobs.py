@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,3 +34,22 @@ def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def each_batch(rows: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync(rows: DataFrame, store: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Append to a Parquet store the rows of each batch whose key is not there yet, once each: an incremental sync.
+
+    A batch that is run again finds its keys in the store and appends nothing.
+    """
+
+    def act(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates([key])
+        try:
+            have = batch.sparkSession.read.parquet(store).select(key)
+            new = new.join(have, key, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        new.write.mode("append").parquet(store)
+
+    return each_batch(rows, act, checkpoint)
