@@ -9,12 +9,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.lookup import look_up
 from strata.sources.shared import materialise
 
 #: Fixed patterns of the contracts: white space between words, and a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["look_up", "materialise"]
+
 #: Rows and bytes of text that a Python worker turns into objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
@@ -24,22 +27,6 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, least: int = 4096, most: int = 50_000) -> DataFrame:
-    """rows with the columns of table by an inner join on key, for keys that may hold a third of all rows.
-
-    table has a row for each key with n, the number of rows of that key. Keys of more than least rows, and of more than one
-    part in most of all rows, are sent to every task: at most most keys, so their size is bounded. The others are joined by a
-    shuffle in which no key is large. Null keys match nothing. Both should be tables: they are read twice.
-    """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = table.filter(F.col("n") > max(least, total // most)).drop("n")
-    cold = table.filter(F.col("n") <= max(least, total // most)).drop("n")
-    if hot.isEmpty():
-        return rows.join(cold, key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

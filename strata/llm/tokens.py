@@ -60,17 +60,17 @@ def load(path: str):
 _LOADED: dict = {}
 
 
-def pieces(text: str) -> list[str] | None:
-    """The pieces of a text. None: it may hold a special token.
+def pieces(text: str) -> tuple[list[str], int] | None:
+    """The pieces of a text, and the number of line ends that are left out. None: it may hold a special token.
 
     Of texts with regular white space the line ends are left out: each is one pre-token of one token there.
     """
     if "<|" in text:
         return None
     if _IRREGULAR.search(text):
-        return _CUT.findall(text)
+        return _CUT.findall(text), 0
     # a space marks a piece that has one before it: the first piece of a line has none
-    return text.replace(" ", "\n ").split("\n")
+    return text.replace(" ", "\n ").split("\n"), text.count("\n")
 
 
 class Counts(dict):
@@ -80,37 +80,32 @@ class Counts(dict):
         super().__init__(frequent)
         self.tok, self.frequent, self.limit = load(path), frequent, limit
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self) + len(missing) > self.limit + len(self.frequent):
+    def learn(self, missing: list[str]) -> dict[str, int]:
+        """Token counts of missing pieces, of which those that are not too long are remembered."""
+        found = dict(zip(missing, [len(e.ids) for e in self.tok.encode_batch_fast(missing, add_special_tokens=False)], strict=True))
+        if len(self) + len(found) > self.limit + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-        for piece, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self[piece] = len(e.ids)
+        self.update(found)
+        for p in [p for p in missing if len(p) > LONGEST]:
+            del self[p]
+        return found
 
     def count(self, texts: list[str]) -> list[int]:
-        cut = [pieces(t) for t in texts]
-        known = set().union(*[c for c in cut if c is not None])
-        long = [p for p in known if len(p) > LONGEST]
-        known.difference_update(long)
-        # what this slice needs may be cleared by learn, so that is looked up after it
-        if missing := list(known.difference(self)):
-            self.learn(missing)
-            if missing := list(known.difference(self)):
-                self.learn(missing)
-        if long:
-            self.update(zip(long, [len(e.ids) for e in self.tok.encode_batch_fast(long, add_special_tokens=False)], strict=True))
+        cut = [pieces(t) if t else ([], 0) for t in texts]
+        get = self.get
+        found = [list(map(get, c[0])) if c else () for c in cut]
+        gaps = [[i for i, n in enumerate(f) if n is None] if None in f else () for f in found]
+        missing = {c[0][i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        fresh = self.learn(list(missing)) if missing else {}
         out = []
-        for t, c in zip(texts, cut, strict=True):
-            if not t:
-                out.append(0)
-            elif c is None:
+        for t, c, f, g in zip(texts, cut, found, gaps, strict=True):
+            if c is None:
                 out.append(len(self.tok.encode(t, add_special_tokens=False).ids))
-            else:
-                # regular texts leave their line ends out; of others all pieces are there
-                ends = t.count("\n") if sum(map(len, c)) < len(t) else 0
-                out.append(sum(map(self.__getitem__, c)) + ends)
-        for p in long:
-            del self[p]
+                continue
+            for i in g:
+                f[i] = fresh[c[0][i]]
+            out.append(sum(f) + c[1])
         return out
 
 
@@ -132,7 +127,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in slices(batches, 0):
         for t in piece.column(0).to_pylist():
             if c := pieces(t):
-                seen.update(w for w in c if len(w) <= LONGEST)
+                seen.update(c[0] if max(map(len, c[0]), default=0) <= LONGEST else [w for w in c[0] if len(w) <= LONGEST])
         if len(seen) > 50 * TASK_TOP:
             seen = Counter(shrink(seen, 25 * TASK_TOP))
     yield _row(seen, TASK_TOP, TaskContext.get().partitionId())
