@@ -88,8 +88,8 @@ def unit_rows(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[fine] / length[fine, None], at[fine]
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """Exact cosine top k: every vector against the stated query set, k per query.
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, each: bool = False) -> DataFrame:
+    """Exact cosine top k: every vector against the stated query set, k per query; with each, k per query and collection.
 
     queries: query_id, qvec; vectors: chunk_id, collection, vec (ids are longs). Queries go to the tasks block at a time, so what
     is sent is bounded; a task multiplies a batch of its vectors with them and keeps the best k of each query, so k rows for
@@ -103,34 +103,43 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
         rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
         sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), *unit_rows(rows.column(1).combine_chunks())))
         scored = vectors.select(F.col("chunk_id").cast("long"), "collection", "vec").mapInArrow(
-            _nearest(sent, k), "query_id long, chunk_id long, collection string, score double"
+            _nearest(sent, k, each), "query_id long, chunk_id long, collection string, score double"
         )
         out = scored if out is None else out.unionByName(scored)
-    return top(out.select("query_id", "collection", "chunk_id", F.round("score", 6).alias("score")), k, "query_id")
+    return top(out.select("query_id", "collection", "chunk_id", F.round("score", 6).alias("score")), k, "query_id", *(["collection"] if each else []))
 
 
-def _nearest(sent, k: int):
+def _nearest(sent, k: int, each: bool):
     """For mapInArrow over (chunk_id, collection, vec): the best k rows of a task for each query, by rounded score, then id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, at = sent.value
-        held: list[list[tuple[float, int, str | None]]] = [[] for _ in at]
+        # by collection (all are one without each), then query: rows of (-score, chunk_id, collection)
+        held: dict[str | None, list[list[tuple[float, int, str | None]]]] = {}
+
+        def merge(score: np.ndarray, own: np.ndarray, names: np.ndarray, best: list[list]) -> None:
+            n = score.shape[1]
+            # all that ties with the k-th best stays until ids decide
+            floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -2.0)
+            for j, rows in enumerate(best):
+                near = np.flatnonzero(score[j] >= max(floor[j], -rows[-1][0] if len(rows) >= k else -2.0))
+                if len(near):
+                    new = [(-float(score[j, x]), int(own[x]), names[x]) for x in near]
+                    best[j] = sorted(rows + new, key=lambda r: r[:2])[:k]
+
         for batch in batches:
             v, places = unit_rows(batch.column(2))
             if not len(places) or not len(at) or v.shape[1] != asked.shape[1]:
                 continue
-            own, names = batch.column(0).to_numpy(zero_copy_only=False)[places], batch.column(1)
+            own = batch.column(0).to_numpy(zero_copy_only=False)[places]
+            names = batch.column(1).to_numpy(zero_copy_only=False)[places]
             for i in range(0, len(v), 8192):
                 score = np.round(asked @ v[i : i + 8192].T, 6)
-                n = score.shape[1]
-                # all that ties with the k-th best stays until ids decide
-                floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -2.0)
-                for j in range(len(at)):
-                    near = np.flatnonzero(score[j] >= max(floor[j], held[j][-1][0] * -1 if len(held[j]) >= k else -2.0))
-                    if len(near):
-                        new = [(-float(score[j, x]), int(own[i + x]), names[int(places[i + x])].as_py()) for x in near]
-                        held[j] = sorted(held[j] + new, key=lambda r: r[:2])[:k]
-        rows = [(int(ids[at[j]]), c, name, -s) for j, best in enumerate(held) for s, c, name in best]
+                part, told = own[i : i + 8192], names[i : i + 8192]
+                for name in set(told) if each else [None]:
+                    x = np.flatnonzero(told == name) if each else slice(None)
+                    merge(score[:, x], part[x], told[x], held.setdefault(name, [[] for _ in at]))
+        rows = [(int(ids[at[j]]), c, name, -s) for best in held.values() for j, found in enumerate(best) for s, c, name in found]
         if rows:
             a, b, c, d = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -203,17 +212,22 @@ def rerank(candidates: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> Dat
     """Weighted sum of seven features, over the sum of the weights; texts under ten characters go.
 
     candidates: query_id, query, collection, chunk_id, text, dense_score, bm25_score, content_type, source, edition, grade,
-    grade_span, wanted_grade. query_coverage is measured but has no weight.
+    grade_span, wanted_grade, and perhaps variants (array of further wordings): query_coverage, which has no weight, is the best of
+    all wordings.
     """
     c = candidates.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) >= 10)
     most = F.max(F.coalesce("bm25_score", F.lit(0.0))).over(Window.partitionBy("query_id"))
     asked = units(F.col("query"))
+    covered = overlap(bigrams(F.col("query")), bigrams(F.col("text")))
+    if "variants" in candidates.columns:
+        others = F.transform(F.coalesce("variants", F.array().cast("array<string>")), lambda v: overlap(bigrams(v), bigrams(F.col("text"))))
+        covered = F.greatest(covered, F.coalesce(F.array_max(others), F.lit(0.0)))
     c = c.select(
         "*",
         F.coalesce("dense_score", F.lit(0.0)).alias("similarity"),
         F.when(most > 0, F.coalesce("bm25_score", F.lit(0.0)) / most).otherwise(0.0).alias("bm25"),
         F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, units(F.col("text")))) / F.size(asked)).otherwise(0.0).alias("term_coverage"),
-        F.round(overlap(bigrams(F.col("query")), bigrams(F.col("text"))), 6).alias("query_coverage"),
+        F.round(covered, 6).alias("query_coverage"),
         table_lookup(STRUCTURE, F.lower("content_type"), 0.5).alias("structure_bonus"),
         source_priority(F.col("collection"), F.col("source")).alias("source_priority"),
         version_feature(F.col("edition")).alias("version"),
@@ -248,15 +262,29 @@ def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return j.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "parent_text")
 
 
+#: Sentence ends in the order in which a cut text looks for one.
+ENDS = ("。", "！", "？", "；", ".", "!", "?")
+
+
+def cut_to(text: Column, budget: int) -> Column:
+    """The first budget characters, which are no more tokens than that, up to the last sentence end of the first kind there is."""
+    cut = F.substring(text, 1, max(1, budget))
+    out = cut
+    for end in reversed(ENDS):
+        at = F.instr(F.reverse(cut), end)
+        out = F.when(at > 0, F.substr(cut, F.lit(1), F.length(cut) - at + 1)).otherwise(out)
+    return out
+
+
 def pack_evidence(ranked: DataFrame, budget: int = 2000, items: int = 4) -> DataFrame:
-    """Greedy by score per token: what does not fit is skipped, at most items; if nothing fits, the best one is cut.
+    """Greedy by score per token: what does not fit is skipped, at most items; if nothing fits, the best one is cut to the budget.
 
-    One fold over each query's candidates, which rerank has bounded. Gives query_id, chunk_id, tokens, final_score, seq.
+    One fold over each query's candidates, which rerank has bounded. Gives query_id, chunk_id, text, tokens, final_score, seq.
     """
-    c = ranked.select("query_id", "chunk_id", "final_score", estimate_tokens(F.col("text")).alias("tokens")).filter("tokens > 0")
+    c = ranked.select("query_id", "chunk_id", "final_score", "text", estimate_tokens(F.col("text")).alias("tokens")).filter("tokens > 0")
     value = F.round(F.greatest("final_score", F.lit(1e-6)) / F.col("tokens"), 9)
     rows = c.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct((-value).alias("v"), "chunk_id", "tokens", "final_score"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct((-value).alias("v"), "chunk_id", "tokens", "final_score", "text"))).alias("rows")
     )
     kind = rows.schema["rows"].dataType.simpleString()
     packed = F.aggregate(
@@ -271,9 +299,10 @@ def pack_evidence(ranked: DataFrame, budget: int = 2000, items: int = 4) -> Data
     # nothing fits: the best by score, cut to the budget
     first = F.array_sort("rows", lambda a, b: F.when(a.final_score > b.final_score, -1).when(a.final_score < b.final_score, 1)
                          .when(a.chunk_id < b.chunk_id, -1).otherwise(1))
-    alone = F.transform(F.slice(first, 1, 1), lambda x: x.withField("tokens", F.lit(budget)))
+    alone = F.transform(F.slice(first, 1, 1), lambda x: x.withField("text", cut_to(x.text, budget)))
+    alone = F.transform(alone, lambda x: x.withField("tokens", estimate_tokens(x.text)))
     out = rows.select("query_id", F.explode(F.when(F.size("kept") > 0, F.col("kept")).otherwise(alone)).alias("x"))
-    out = out.select("query_id", "x.chunk_id", "x.tokens", "x.final_score")
+    out = out.select("query_id", "x.chunk_id", "x.text", "x.tokens", "x.final_score")
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "chunk_id")
     return out.withColumn("seq", F.row_number().over(w))
 

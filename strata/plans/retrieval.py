@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators import retrieve, route as routing
+from strata.operators import answer as answers, retrieve, route as routing
 from strata.plans.registry import query
 from strata.sources.shared import materialise
 from strata.sources.tables import Tables
@@ -158,13 +158,15 @@ def parent_expand(t: Tables) -> DataFrame:
 
 
 TOKENS = "CAST(floor(length(text) * CAST(0.30 AS DOUBLE) + 0.5) AS INTEGER)"
-PACKED = f"""{NARROW}, pc AS (SELECT query_id, chunk_id, final_score, tk AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY v, chunk_id) AS i
+PACKED = f"""{NARROW}, pc AS (SELECT query_id, chunk_id, final_score, text, tk AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY v, chunk_id) AS i
   FROM (SELECT *, -round(greatest(final_score, 1e-6) / tk, 9) AS v FROM (SELECT *, {TOKENS} AS tk FROM top10))),
 st AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, false AS took FROM (SELECT DISTINCT query_id FROM pc)
  UNION ALL SELECT s.query_id, p.i, CASE WHEN s.n < 4 AND s.used + p.tokens <= 2000 THEN s.used + p.tokens ELSE s.used END,
   CASE WHEN s.n < 4 AND s.used + p.tokens <= 2000 THEN s.n + 1 ELSE s.n END, s.n < 4 AND s.used + p.tokens <= 2000 FROM st s JOIN pc p ON p.query_id = s.query_id AND p.i = s.i + 1),
 kept AS (SELECT p.query_id, p.chunk_id, p.tokens, p.final_score FROM pc p JOIN st s ON s.query_id = p.query_id AND s.i = p.i WHERE s.took),
-alone AS (SELECT query_id, chunk_id, 2000 AS tokens, final_score FROM pc WHERE query_id NOT IN (SELECT query_id FROM kept)
+alone AS (SELECT query_id, chunk_id, CAST(floor((CASE WHEN contains(cut, '.') THEN length(cut) - strpos(reverse(cut), '.') + 1 WHEN contains(cut, '!') THEN length(cut) - strpos(reverse(cut), '!') + 1
+   WHEN contains(cut, '?') THEN length(cut) - strpos(reverse(cut), '?') + 1 ELSE length(cut) END) * CAST(0.30 AS DOUBLE) + 0.5) AS INTEGER) AS tokens, final_score
+  FROM (SELECT *, substr(text, 1, 2000) AS cut FROM pc) WHERE query_id NOT IN (SELECT query_id FROM kept)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) = 1),
 ev AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS seq FROM (SELECT * FROM kept UNION ALL SELECT * FROM alone))"""
 
@@ -268,6 +270,51 @@ def rewrite_variants(t: Tables) -> DataFrame:
     return routing.variants(q, s)
 
 
+ROUTED = """
+asked AS (SELECT item_id AS query_id, 0 AS route, text FROM benchmark UNION ALL
+ SELECT item_id, 1, replace(text, 'and', 'und') FROM benchmark WHERE contains(text, 'and') AND NOT contains(text, 'und')),
+routed AS (SELECT b.item_id AS query_id, c.source AS collection FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) c
+ ON CAST(substr(c.source, 4) AS INTEGER) % 2 = b.item_id % 3)"""
+ANSWER = BM25.replace("SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM benchmark", "SELECT DISTINCT query_id * 16 + route AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM asked") + """,
+dn AS (SELECT q.vec_id AS query_id, d.source AS collection, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+ FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id CROSS JOIN embeddings v JOIN documents d ON d.doc_id = v.vec_id
+ QUALIFY row_number() OVER (PARTITION BY q.vec_id, d.source ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) <= 20),
+routes AS (SELECT r.* FROM (SELECT query_id, 0 AS route, 'dense' AS kind, collection, chunk_id, score FROM dn
+ UNION ALL SELECT query_id // 16, query_id % 16 + 1, 'bm25', collection, chunk_id, score FROM bm) r JOIN routed USING (query_id, collection)),""" + FUSED[FUSED.index("\nrk AS") :]
+ANSWER += RANKED[RANKED.index(",\ncand AS") :].replace(
+    f"round(len(list_intersect({G.format('query')}, {G.format('text')})) / len({G.format('query')}), 6) AS query_coverage",
+    f"round(greatest(len(list_intersect({G.format('query')}, {G.format('text')})) / len({G.format('query')}), CASE WHEN contains(query, 'and') AND NOT contains(query, 'und') THEN len(list_intersect({G.format(chr(40) + 'replace(query, chr(97)||chr(110)||chr(100), chr(117)||chr(110)||chr(100))' + chr(41))}, {G.format('text')})) / len({G.format('replace(query, chr(97)||chr(110)||chr(100), chr(117)||chr(110)||chr(100))')}) ELSE 0 END), 6) AS query_coverage",
+)
+ANSWER += PARENT[len(RANKED) :]
+ANSWER += PACKED[len(NARROW) :].replace("FROM (SELECT *, -round", "FROM (SELECT *, -round").replace("FROM top10)))", "FROM (SELECT * REPLACE (CASE WHEN has THEN ptext ELSE text END AS text) FROM (SELECT *, 'parent ' || repeat('word ', CAST(parent_id % 2000 AS INTEGER)) || 'end.' AS ptext FROM exr)))))")
+
+
+@query(f"""WITH RECURSIVE {ROUTED}, {ANSWER}, b AS (SELECT ev.query_id, max(r.query_coverage) AS c FROM ev JOIN ranked r ON r.query_id = ev.query_id AND r.chunk_id = ev.chunk_id GROUP BY 1)
+SELECT item_id AS query_id, coalesce(b.c, 0) < 0.28 AS refused, chunk_id, CAST(seq AS INTEGER) AS seq, tokens, final_score
+FROM benchmark LEFT JOIN ev ON ev.query_id = item_id LEFT JOIN b ON b.query_id = item_id""")
+def answer_pipeline(t: Tables) -> DataFrame:
+    """Wordings, routing, recall per collection for each wording, fusion, rank, grades, parents, packing, refusal."""
+    n, i = F.substring("source", 4, 9).cast("int"), F.col("query_id")
+    names = lambda k, of: F.get(F.array(*[F.lit(x) for x in of]), (k % len(of)).cast("int"))
+    collections = t.documents.select("source").distinct().select(
+        F.col("source").alias("collection"), names(n, ("science", "math")).alias("subject"), F.lit("").alias("discipline"), F.lit("").alias("grade")
+    )
+    asked = asked_vectors(t)
+    questions = t.questions().join(asked, "query_id", "left").select(
+        "query_id", "text", names(i, ("science", "math", "history")).alias("subject"), F.lit("none").alias("discipline"), (1 + i % 3).cast("string").alias("grade"), "qvec"
+    )
+    kinds = F.array(*[F.lit(x) for x in ("body", "definition", "example", "other")])
+    chunks = t.chunks().select(
+        "chunk_id", "collection", "text", F.lit("web").alias("source"), F.lit("").alias("edition"), "grade", F.lit("").alias("grade_span"),
+        F.get(kinds, (F.col("chunk_id") % 4).cast("int")).alias("content_type"), F.floor(F.col("chunk_id") / 4).alias("parent_id"),
+    )
+    parents = chunks.select("collection", "parent_id").distinct().filter("parent_id % 5 <> 0")
+    made = F.concat(F.lit("parent "), F.repeat(F.lit("word "), (F.col("parent_id") % 2000).cast("int")), F.lit("end."))
+    synonyms = t.values("SELECT 'and' AS term, 'und' AS synonym, 0 AS ord")
+    out = answers.answer(questions, collections, chunks, vectors(t), parents.withColumn("parent_text", made), synonyms, floor=0.25)
+    return out.select("query_id", "refused", "chunk_id", "seq", "tokens", "final_score")
+
+
 @query("""SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN contains(collection, '1') THEN 0 ELSE 1 END, rn) AS INTEGER) AS pos
 FROM (WITH """ + BM25 + """ SELECT query_id, collection, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection, chunk_id) AS rn FROM bm WHERE score >= 0.35 AND rn <= 5)""")
 def source_first(t: Tables) -> DataFrame:
