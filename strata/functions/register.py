@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from strata.functions import latex, outline
 from strata.functions.text import HAN_RUN, LATIN_WORD, UNIT, WIDE
@@ -26,17 +27,17 @@ EXPRESSIONS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_latex(text: pd.Series) -> pd.Series:
     return text.map(latex.plain, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return latex._ratio(a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _content_lines(text: pd.Series) -> pd.Series:
     return text.map(outline.lines, na_action="ignore")
 
