@@ -41,6 +41,8 @@ TIERS = (512, 1024, 2048, 4096)
 POOL, STEP, CACHE = 1 << 20, 16 * 4096, 350_000
 #: Longer pieces, as in scripts without spaces, are not remembered: the cache is bounded by bytes.
 LONGEST = 64
+#: Plain words that are encoded as one text.
+WORDS = 4096
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -122,16 +124,16 @@ class Ids(dict):
 
     def _words(self, words: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
         """Ids of words that are one pre-token each: encoded as one text, cut after the ids that end a word."""
-        if not words:
-            return {}
-        ids = np.array(self.tok.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(ends) != len(words):
-            return {}
-        data, at, out = ids.tobytes(), 0, {}
-        for w, end in zip(words, ends, strict=True):
-            out[w] = data[4 * at : 4 * end]
-            at = end
+        out = {}
+        for i in range(0, len(words), WORDS):
+            part = words[i : i + WORDS]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(texts[i : i + WORDS])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(part, ends, strict=True):
+                    out[w] = data[4 * at : 4 * end]
+                    at = end
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -274,7 +276,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         mark = end.to_bytes(4, "little")
-        for piece in slices(batches, 1, 4 * SLICE_ROWS, 2 * SLICE_BYTES):
+        for piece in slices(batches, 1, SLICE_ROWS, SLICE_BYTES // 2):
             for doc_id, data in zip(piece.column(0).to_pylist(), ids.encode(piece.column(1).to_pylist()), strict=True):
                 data += mark
                 held[number] = [doc_id, data, len(data) // 4]
