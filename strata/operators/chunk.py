@@ -148,7 +148,7 @@ def protected(text: str) -> list[tuple[int, int]]:
 
 
 def pieces(text: str, size: int = 384, overlap: int = 38, least: int = 100) -> list[tuple[int, int]]:
-    """Overlapping chunks of about size characters: to the last sentence end, else the last space, never inside a protected region.
+    """Overlapping chunks of about size characters: to the last sentence end, else the last space, outside of protected regions.
 
     A region that a chunk's end falls into is kept whole, so a chunk can be longer. Texts under least characters are one chunk;
     shorter stretches between are left out.
@@ -180,8 +180,11 @@ def pieces(text: str, size: int = 384, overlap: int = 38, least: int = 100) -> l
                 break
             # no place inside the region will do
             k = bisect_left(ends, held[0]) - 1
-        if cut == stop and (space := text.rfind(" ", at, stop)) > at:
-            cut = space
+        if cut == stop:
+            space = text.rfind(" ", at, stop)
+            while space > at and (held := region(space)):
+                space = text.rfind(" ", at, held[0])
+            cut = space if space > at else cut
         if len(text[at:cut].strip()) >= least:
             out.append((at, cut))
         cut = cut if cut > at else at + size

@@ -22,12 +22,18 @@ def sections(t: Tables) -> DataFrame:
     return chunk.sections(t.chunks(), lambda x: (F.length(x) <= 40) & x.rlike("^[A-Z]"), lambda x: F.when(x.rlike("^[A-M]"), x))
 
 
-TYPED = "SELECT * FROM (VALUES (1, '例题 1 求解'), (2, '课后作业'), (3, '图 3 装置'), (4, '速度的定义'), (5, '牛顿定律'), (6, 'plain'), (7, ''), (8, 'ISBN 123')) AS t(id, x)"
-
-
-@query("SELECT * FROM (VALUES (1,'example'),(2,'exercise'),(3,'figure_caption'),(4,'definition'),(5,'theorem'),(6,'body'),(7,'body'),(8,'cover')) AS t(id, content_type)")
+@query("""WITH d AS (SELECT doc_id, ['例题 1 ', '课后作业 ', '图 3 装置 ', '速度的定义 ', '牛顿定律 ', '', 'ISBN 123 ', '1.1 位移' || chr(10) || '1.2 速度' || chr(10) || '1.3 力' || chr(10) || '第二章 能' || chr(10)][doc_id % 8 + 1] || CASE WHEN doc_id % 16 = 7 THEN '2.1 功' ELSE text END AS x FROM documents),
+l AS (SELECT doc_id, x, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS ls FROM d)
+SELECT doc_id AS id, CASE WHEN trim(x) = '' THEN 'body'
+ WHEN len(ls) >= 5 AND len(list_filter(ls, lambda y: length(y) <= 24 AND NOT ends_with(y, '。') AND regexp_matches(y, '^(第\\s*[一二三四五六七八九十百零\\d]+\\s*[章节单元课篇]|\\d{1,2}(\\.\\d{1,2})*\\s*[.、]?\\s*\\S)'))) >= 0.6 * len(ls) THEN 'toc'
+ WHEN length(x) < 300 AND contains(x, 'ISBN') THEN 'cover' WHEN contains(substr(x, 1, 80), '例题') THEN 'example' WHEN contains(substr(x, 1, 80), '课后作业') THEN 'exercise'
+ WHEN regexp_matches(substr(x, 1, 80), '^\\s*(图|表)\\s*[\\d一二三四五六七八九十]') THEN 'figure_caption' WHEN contains(substr(x, 1, 300), '定义') THEN 'definition' WHEN contains(substr(x, 1, 300), '定律') THEN 'theorem' ELSE 'body' END AS content_type FROM l""")
 def content_type(t: Tables) -> DataFrame:
-    return t.values(TYPED).select("id", chunk.content_type(F.col("x"), F.lit(True)).alias("content_type"))
+    """Documents behind beginnings of several kinds, or a table of contents."""
+    starts = ("例题 1 ", "课后作业 ", "图 3 装置 ", "速度的定义 ", "牛顿定律 ", "", "ISBN 123 ", "1.1 位移\n1.2 速度\n1.3 力\n第二章 能\n")
+    start = F.get(F.array(*[F.lit(x) for x in starts]), (F.col("doc_id") % 8).cast("int"))
+    made = F.concat(start, F.when(F.col("doc_id") % 16 == 7, "2.1 功").otherwise(F.col("text")))
+    return t.documents.select("doc_id", made.alias("x")).select(F.col("doc_id").alias("id"), chunk.content_type(F.col("x"), F.lit(True)).alias("content_type"))
 
 
 @query("""WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_linenumber * 100 - l_orderkey % 40 AS start FROM lineitem ),

@@ -50,7 +50,7 @@ def versioned(df: DataFrame, path: str, version: str) -> None:
 def chunk_files(df: DataFrame, path: str, *keys: str) -> None:
     """Chunks (text and other columns) as text files below key=value folders: comment lines of their metadata, then the text."""
     meta = [F.concat(F.lit(f"# {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns if c != "text" and c not in keys]
-    df.select(*keys, F.concat_ws("\n", *meta, F.lit(""), "text", F.lit("")).alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+    df.select(*keys, F.concat_ws("\n", *meta, "text").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def report_lines(df: DataFrame, path: str, title: str) -> None:

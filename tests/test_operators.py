@@ -143,7 +143,7 @@ def simple_pieces(t, size, overlap, least, ends, regions):
         fine = [e for e in ends if at < e <= stop and not inside(e)]
         cut = fine[-1] if fine else stop
         if cut == stop:
-            spaces = [i for i in range(at + 1, stop) if t[i] == " "]
+            spaces = [i for i in range(at + 1, stop) if t[i] == " " and not inside(i)]
             cut = spaces[-1] if spaces else cut
         if len(t[at:cut].strip()) >= least:
             out.append((at, cut))
