@@ -1,7 +1,12 @@
 """A corpus pipeline: quality rules, near-duplicates, secrets, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. A null or empty text fails the quality rules and goes.
+stage's docs. All but the last return the columns of docs, whatever their names.
+
+Cases: a null or empty text fails the quality rules and goes; a null source is a source of the mix; rows with a null id stay
+apart in the second stage, since no id tells them from each other; of rows with one id that stage keeps one, the least by a hash
+of its columns; a secret in a text is replaced, so n_chars follows; a very long text stays whole until packing cuts it; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
