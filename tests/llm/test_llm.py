@@ -614,3 +614,26 @@ def test_pipeline_stages_agree_with_their_operators(spark):
     reps = {r.doc_id: r.reps for r in mix.mix_table(d3).collect()}
     assert Counter(r.doc_id for r in d4.collect()) == Counter({i: n for i, n in reps.items() if n})
     assert {r.doc_id for r in d5.collect()} == {r.doc_id for r in d4.collect()}
+
+
+def test_pipeline_on_nulls_repeats_and_nothing(spark):
+    import corpus_pipeline
+
+    plain = " ".join(f"word{i} and others" for i in range(40))
+    rows = [
+        (1, plain + " one", "en", "a", 9), (1, plain + " one", "en", "a", 9), (2, None, "en", "a", None), (3, "", None, None, 0), (None, plain + " token=abcdefgh12345", "en", None, 5),
+        (4, " ".join(f"x{i}y" for i in range(60_000)), "en", "b", 1),
+    ]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = {"fp": F.lit(1), "kept": F.lit(True), "_mix_size": F.lit(2), "words": F.lit("w")}
+    for docs, n in ((spark.createDataFrame(rows, kind), 3), (spark.createDataFrame([], kind), 0)):
+        docs = docs.withColumns(extra)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+            assert docs.columns == columns, name
+            if name == "near duplicates":
+                assert docs.count() == n
+            if name == "secret scan":
+                assert not docs.filter("text like '%abcdefgh12345%'").count()
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == ({1, None, 4} if n else set())
