@@ -24,6 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders of the tables that this process has made and not dropped.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """A mark for drop_made: how many tables there are."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables made since a mark, but for the last keep. Nothing that is still to be read may depend on them."""
+    end = max(since, len(_MADE) - keep)
+    gone, _MADE[since:end] = _MADE[since:end], []
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
@@ -32,4 +50,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
