@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import mix, packing, quality, secrets, simhash
 from strata.llm.common import documents, materialise
+from strata.sources.shared import drop_made, made
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next reads it."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents, each written before the next reads it; what a stage wrote for itself is deleted then."""
+    docs, mark = documents(spark, sf_dir), made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name.replace(' ', '-')}")
+            drop_made(spark, mark, keep=1)
     return docs
