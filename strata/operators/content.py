@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions.latex import ratio
 from strata.functions.outline import content_concepts
 from strata.functions.rules import NOISE_WORDS, contains_any, noise_likely, words
+from strata.operators.route import small
 from strata.sources.shared import materialise
 
 
@@ -66,14 +67,14 @@ def search(rows: DataFrame, asked: DataFrame, most: int = 3, similar: float = 0.
     """query_id, pos and the concept: the first most concepts of an outline, by subject and order, that match each question.
 
     A concept matches if a field of it (name, summary, a step, a question, an answer) has every word of the question or is similar
-    to it. asked (query_id, text) is a stated set of questions and goes to the concepts whole.
+    to it. asked (query_id, text) is a stated set of at most 10 000 questions and goes to the concepts whole.
     """
     fields = F.concat(
         F.array("name", "summary"), "steps", F.flatten(F.transform("questions", lambda q: F.concat(F.array(q.question), q.answers)))
     )
     own = rows.select("subject", "ord", "topic", "name", "summary", F.transform(F.filter(fields, lambda f: f.isNotNull()), lambda f: F.lower(f)).alias("fields"))
     q = asked.select("query_id", F.lower("text").alias("q")).withColumn("words", F.filter(F.split("q", "\\s+"), lambda w: w != ""))
-    j = own.join(F.broadcast(q) if asked.count() <= 10_000 else q)
+    j = own.join(small(q))
     each = j.select("query_id", "subject", "ord", "topic", "name", "summary", "q", "words", F.explode("fields").alias("f"))
     hit = F.forall("words", lambda w: F.col("f").contains(w)) | (ratio(F.col("q"), F.col("f")) > similar)
     found = each.filter(hit).groupBy("query_id", "subject", "ord", "topic", "name").agg(F.first("summary").alias("summary"))

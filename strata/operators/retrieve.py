@@ -253,9 +253,14 @@ def best(ranked: DataFrame, k: int = 10, floor: float = 0.40) -> DataFrame:
 def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """Children give way to their parents; without one they stay. The first child of a parent wins.
 
-    hits: query_id, collection, chunk_id, parent_id, text, rank; parents: collection, parent_id, parent_text.
+    hits: query_id, collection, chunk_id, parent_id, text, rank; parents: collection, parent_id, parent_text. With meta (a map) in
+    hits and parent_meta in parents, entries of the child that are not empty stand over the parent's.
     """
     j = hits.join(parents, ["collection", "parent_id"], "left")
+    if "meta" in hits.columns and "parent_meta" in parents.columns:
+        own = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(v, F.lit("")) != "")
+        rest = F.map_filter(F.coalesce("parent_meta", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(own), k))
+        j = j.withColumn("meta", F.map_concat(rest, own)).drop("parent_meta")
     key = F.coalesce(F.when(F.col("parent_text").isNotNull(), F.concat(F.lit("parent:"), F.col("parent_id").cast("string"))), F.concat(F.lit("child:"), F.col("chunk_id").cast("string")))
     j = j.withColumn("unit", key).withColumn("text", F.coalesce("parent_text", "text"))
     w = Window.partitionBy("query_id", "collection", "unit").orderBy("rank", "chunk_id")

@@ -327,6 +327,14 @@ def test_answers_grades_and_files(spark):
     assert one(spark, route.diagram_key(F.col("a")), a="Draw the animal CELL") == "cell_plant"
 
 
+def test_parents_take_over_with_the_childs_metadata(spark):
+    hits = spark.createDataFrame([(1, "c", 1, 7, "child", 1, {"page": "3", "title": ""}), (1, "c", 2, 7, "later", 2, None), (1, "c", 3, 9, "orphan", 3, {"a": "b"})],
+                                 "query_id int, collection string, chunk_id int, parent_id int, text string, rank int, meta map<string,string>")
+    parents = spark.createDataFrame([("c", 7, "whole", {"title": "T", "page": "1"})], "collection string, parent_id int, parent_text string, parent_meta map<string,string>")
+    got = {r.chunk_id: (r.text, r.meta) for r in retrieve.expand_parents(hits, parents).collect()}
+    assert got == {1: ("whole", {"title": "T", "page": "3"}), 3: ("orphan", {"a": "b"})}
+
+
 def test_evidence_is_cut_at_a_sentence_end(spark):
     rows = [(1, 4, "w" * 900 + ". " + "w" * 40000, 0.3)]
     got = retrieve.pack_evidence(spark.createDataFrame(rows, "query_id int, chunk_id int, text string, final_score double"), 1000).first()
