@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,8 +122,31 @@ def as_sentence(q: Column) -> Column:
     return F.regexp_replace(q, "\\?+", "?")
 
 
-def normalised(q: Column) -> Column:
-    return as_sentence(with_abbreviations(without_exam_phrases(formal(q))))
+#: A context, and the words of which a vague question about it has one.
+CONTEXTS = (("electric circuit", ("switch", "circuit")), ("cell", ("mitochondria", "chloroplast")))
+
+
+def in_context(q: Column) -> Column:
+    """``what happens when`` with ``in a <context>`` put in, for questions of up to 15 words that do not name the context."""
+    low = F.lower(q)
+    fits = F.size(F.split(F.trim(q), "\\s+")) <= 15
+    out = q
+    for context, needed in reversed(CONTEXTS):
+        named = F.regexp_replace(q, "(?i)^(.*?what happens)(?=\\s+(?:when|if))", f"$1 in a {context}")
+        out = F.when(fits & contains_any(low, needed) & ~low.contains(context), named).otherwise(out)
+    return out
+
+
+def without_learned(q: Column, phrases: tuple[str, ...]) -> Column:
+    """Without phrases that mining has found, whatever their case."""
+    for p in phrases:
+        q = F.regexp_replace(q, f"(?i){re.escape(p)}", "")
+    return F.regexp_replace(one_space(q), "^[,:;\\-\\s]+", "")
+
+
+def normalised(q: Column, learned: tuple[str, ...] = ()) -> Column:
+    """All steps in order; fuzzy exam phrases are taken out by functions.latex.fuzzy_removed before it."""
+    return in_context(as_sentence(with_abbreviations(without_learned(without_exam_phrases(formal(q)), learned))))
 
 
 def intent(q: Column) -> Column:

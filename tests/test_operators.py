@@ -80,6 +80,8 @@ def test_rules(spark):
     assert one(spark, rules.edge_case(F.col("a")), a=None) == "empty"
     assert one(spark, rules.spell_gate(F.col("a")), a="this is a goooood day") is True
     assert one(spark, rules.normalised(F.col("a")), a="hey what is  EMF") == "What is electromotive force?"
+    assert one(spark, rules.normalised(F.col("a"), ("in exam style",)), a="What happens when the switch is open, In Exam Style") == "What happens in a electric circuit when the switch is open?"
+    assert one(spark, rules.normalised(F.col("a")), a="what happens if a circuit opens in an electric circuit") == "What happens if a circuit opens in an electric circuit?"
     assert one(spark, rules.grounding(F.col("a"), F.col("b")), a="我推测这个问题的答案其实是另外一个完全不同的东西", b="课文") == "admitted"
 
 
