@@ -103,14 +103,16 @@ class Ids(dict):
             if m[-1] in _MARKS:
                 stem = m.rstrip(_MARKS)
                 if stem and (96 < stem[-1] < 123 or stem[-1] > 127 and _ends_in_letter(stem)):
-                    joined.append((m, stem, m[len(stem) :]))
-                    words.add(stem)
-                    words.add(m[len(stem) :])
+                    marks = m[len(stem) :]
+                    joined.append((m, stem, marks))
+                    for part in (stem, marks):
+                        if part not in out:
+                            if (known := self.get(part) or older.get(part)) is None:
+                                words.add(part)
+                            else:
+                                out[part] = known
                     continue
             words.add(m)
-        for w in words:
-            if (known := self.get(w) or older.get(w)) is not None:
-                out[w] = known
         wanted = list(words.difference(out))
         texts = [m.decode("utf-8", "replace") for m in wanted]
         plain = [_is_word(t) for t in texts]
@@ -228,15 +230,20 @@ class Packer:
                 self.tiers[next(t for t in TIERS if p[2] <= t)].append(p)
                 self.held += p[2]
             return
-        while total := sum(n for _, _, n in rest):
+        total, at = sum(n for _, _, n in rest), 0
+        while total:
             size = min(CONTEXT, 1 << (total.bit_length() - 1))
             x, room = [], size
             while room:
-                doc, start, n = rest[0]
+                doc, start, n = rest[at]
                 take = min(n, room)
                 x.append((doc, start, take))
                 room -= take
-                rest[:1] = [(doc, start + take, n - take)] if take < n else []
+                if take < n:
+                    rest[at] = (doc, start + take, n - take)
+                else:
+                    at += 1
+            total -= size
             yield size, x
 
 
@@ -276,7 +283,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, end: int = END, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         mark = end.to_bytes(4, "little")
-        for piece in slices(batches, 1, SLICE_ROWS, SLICE_BYTES // 2):
+        for piece in slices(batches, 1, 4 * SLICE_ROWS, SLICE_BYTES // 2):
             for doc_id, data in zip(piece.column(0).to_pylist(), ids.encode(piece.column(1).to_pylist()), strict=True):
                 data += mark
                 held[number] = [doc_id, data, len(data) // 4]
