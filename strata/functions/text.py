@@ -79,6 +79,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+#: Fixed value: what a question has in front of it when it is turned into a vector; passages have nothing.
+QUERY_INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
+
+
+def embedding_input(text: Column, question: bool = False) -> Column:
+    """The text that a model is given; null where there is none, which has a zero vector."""
+    given = F.concat(F.lit(QUERY_INSTRUCTION), text) if question else text
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", given)
+
+
+def unit_vector(vec: Column, size: int) -> Column:
+    """A vector of length one; zeros for a missing vector, one of another size or one without length."""
+    length = F.sqrt(dot(vec, vec))
+    fine = (F.size(vec) == size) & (length > 0)
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return F.coalesce(F.when(fine, F.transform(vec, lambda x: x.cast("double") / length)), zeros)
+
+
 #: Letters that mathematical fonts are mapped to by mistake, symbols likewise, pieces of large brackets that go,
 #: and ranges of noise.
 GLYPHS = (

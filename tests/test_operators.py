@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strata.functions import latex, outline, register, rules, text
 from strata.operators import chunk, content, evaluate, govern, lookup, package, retrieve, route
 from strata.plans import evaluation
-from strata.sources import files
+from strata.sources import dims, files
 from strata.sources.tables import Tables
 from strata.streaming import jobs
 
@@ -337,6 +337,25 @@ def test_parents_take_over_with_the_childs_metadata(spark):
     assert got == {1: ("whole", {"title": "T", "page": "3"}), 3: ("orphan", {"a": "b"})}
 
 
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text('groups:\n- terms: ["自由落体", "自由下落", " 自由下落 "]\n- terms: [one]\n- terms: ["自由落体", "落体"]\n')
+    got = {(r.term, r.synonym, r.ord) for r in dims.synonyms(spark, str(tmp_path / "s.yaml")).collect()}
+    assert got == {("自由落体", "自由下落", 0), ("自由落体", "落体", 1), ("自由下落", "自由落体", 0), ("落体", "自由落体", 0)}
+    (tmp_path / "b.yaml").write_text('books:\n- id: p1\n  match_all: [["Physics (1)", "物理"], ["一"]]\n  exclude: [Lab]\n  grade: 10\n  grade_span: [10, 11]\n- id: any\n  match_all: [[book]]\n')
+    b = dims.books(spark, str(tmp_path / "b.yaml"))
+    names = spark.createDataFrame([("物理 第一册",), ("物理 一 LAB book",), ("x",)], "name string")
+    assert {r.name: r.book_id for r in route.match_books(names, b).collect()} == {"物理 第一册": "p1", "物理 一 LAB book": "any", "x": None}
+    (tmp_path / "e.yaml").write_text("")
+    assert dims.synonyms(spark, str(tmp_path / "e.yaml")).count() == 0
+
+
+def test_vectors_for_models(spark):
+    d = spark.createDataFrame([(1, "q", [3.0, 4.0]), (2, " ", None), (3, None, [0.0, 0.0]), (4, "x", [1.0])], "id int, t string, v array<double>")
+    got = d.select("id", text.embedding_input(F.col("t"), True).alias("q"), text.embedding_input(F.col("t")).alias("p"), text.unit_vector(F.col("v"), 2).alias("u")).orderBy("id").collect()
+    assert [r.q for r in got] == [text.QUERY_INSTRUCTION + "q", None, None, text.QUERY_INSTRUCTION + "x"] and got[0].p == "q"
+    assert [r.u for r in got] == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+
+
 def test_evidence_is_cut_at_a_sentence_end(spark):
     rows = [(1, 4, "w" * 900 + ". " + "w" * 40000, 0.3)]
     got = retrieve.pack_evidence(spark.createDataFrame(rows, "query_id int, chunk_id int, text string, final_score double"), 1000).first()
